@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import near_duplicates, packing, splitting, tokens, vector_search
+from docloom.llm import near_duplicates, packing, pair_quality, splitting, tokens, vector_search
 from docloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, True)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_defects(spark, sf_dir).select("pair_id", "defect")
+
+
+def p2_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_quality.flag_pairs(table(spark, sf_dir, "qa_pairs"))
+
+
 def _similar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates.similar_texts(table(spark, sf_dir, "dom_documents"))
 
@@ -61,7 +69,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_bins(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_groups, p4_found, p4_neighbours, p6_ids, p7_bins, p7_fill)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_defects, p3_found, p3_groups, p4_found, p4_neighbours, p6_ids, p7_bins, p7_fill)}
 
 ORACLE: dict[str, str] = {
     "p1_found": """
