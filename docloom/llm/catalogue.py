@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import near_duplicates, packing, pair_quality, splitting, tokens, vector_search
+from docloom.llm import encoding_repair, near_duplicates, packing, pair_quality, splitting, tokens, vector_search
 from docloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,7 +69,15 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_bins(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_defects, p3_found, p3_groups, p4_found, p4_neighbours, p6_ids, p7_bins, p7_fill)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_restored(spark, sf_dir).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.restore(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_defects, p3_found, p3_groups, p4_found, p4_neighbours, p6_ids, p7_bins, p7_fill, p8_found, p8_restored)}
 
 ORACLE: dict[str, str] = {
     "p1_found": """

@@ -188,7 +188,7 @@ def flag_pairs(df: DataFrame, key: str = "pair_id", question: str = "question",
     measure = a.rlike(r"\d\s?[\p{L}°µμΩ%·/²³]{1,7}$")
     open_end = ~short_answer & ~measure & ~a.rlike(r"[。．.！!？?…）)”\"」』|`;；]$")
     cut, context = (F.when(open_end, F.regexp_extract(a, rf"({unit})$", 1)).otherwise("") for unit in (SHORT, LONG))
-    marked = pairs.select("key", "a", empty.alias("empty"), copied.alias("copied"), refusal.alias("refusal"), other.alias("other"), ((hanging & ~short_answer) | _unclosed(a)).alias("broken"), F.lower(cut).alias("cut"), F.lower(context).alias("context"))
+    marked = pairs.select("key", "a", empty.alias("empty"), copied.alias("copied"), refusal.alias("refusal"), other.alias("other"), ((hanging & ~short_answer & ~measure) | _unclosed(a)).alias("broken"), F.lower(cut).alias("cut"), F.lower(context).alias("context"))
     marked = durable(marked)
     known = durable(endings(pairs, "a"))
     asked_for = marked.filter("cut <> ''").select("cut", "context").distinct()
