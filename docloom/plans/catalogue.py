@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.plans import records
+from docloom.plans import records, retrieval, structure
 
-_MODULES = (records,)
+_MODULES = (records, structure, retrieval)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
