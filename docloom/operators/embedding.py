@@ -88,7 +88,7 @@ def embed_column(semantics: Column | str, path: Column | str, factory: Callable[
                     continue
                 one = TreeEmbedder(model)
                 root = one.document(loads(x), p)
-                out.append((json.dumps(root, ensure_ascii=False), [(i, list(m.items()), v, t) for i, m, v, t in one.records], "COMPLETED", None))
+                out.append((json.dumps(root, ensure_ascii=False), [{"id": i, "metadata": m, "embedding": v, "document": t} for i, m, v, t in one.records], "COMPLETED", None))
             except (Invalid, ValueError, AttributeError, RecursionError) as e:
                 out.append((None, [], "ERROR", f"{type(e).__name__}: {e}"))
         return pd.DataFrame(out, columns=["embed_json", "records", "status", "exception"])
