@@ -48,7 +48,7 @@ REFUSALS = (
 NO_REFUSALS = r"让您久等|sorry for the (wait|delay)|cannot give a fixed value|can['’]?t give a fixed value"
 
 #: Words, and ends of text in scripts without spaces, that cannot be the last of a statement.
-HANGING_WORDS = "and or but because if when while than the a an of to with from by for into between as its whose which und oder weil wenn dass sowie die der das den dem ein eine mit et ou mais parce que le les un une des du de avec dans pour и или но если потому что"
+HANGING_WORDS = "and or but because if when while than the an of to with from by for into between as its whose which und oder weil wenn dass sowie die der das den dem ein eine mit et ou mais parce que le les un une des du de avec dans pour и или но если потому что"
 HANGING_PARTS = "因为 以及 并且 而且 如果 或者 但是 不过 所以 由于 和 与 或 及 但 而 的 比 到 至 则 把 被 および または かつ なので ので、 が、 を の"
 
 #: Frequent short words of languages written in Latin letters.
@@ -84,36 +84,46 @@ def _count(x: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(x, f"[^{chars}]", ""))
 
 
-def language(x: Column) -> Column:
-    """The language of running text, or null where too little tells: a script's, or one by its frequent words."""
-    n = {k: _count(x, v) for k, v in _LETTERS.items()}
-    cjk = n["han"] + n["kana"]
-    words = F.array_remove(F.split(F.lower(F.regexp_replace(x, r"[^\p{L}]+", " ")), " "), "")
+def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the language of running text: a script's, or one by its frequent words; null where too little tells.
+
+    Built in steps, each a column of its own, so that no expression is
+    evaluated once per use.
+    """
+    prose = f"{out}__prose"
+    df = df.withColumn(prose, _prose(F.col(text)))
+    rare = [k for k in _LETTERS if k not in ("han", "kana", "latin")]
+    odd = F.col(prose).rlike("[" + "".join(_LETTERS[k] for k in rare) + "]")
+    counts = {k: F.when(odd, _count(F.col(prose), v)).otherwise(0) if k in rare else _count(F.col(prose), v) for k, v in _LETTERS.items()}
+    df = df.withColumns({f"{out}__{k}": c for k, c in counts.items()} | {f"{out}__words": F.array_remove(F.split(F.lower(F.regexp_replace(prose, r"[^\p{IsLatin}\p{M}]+", " ")), " "), "")})
 
     def hit(own: str) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(own.split())))
+        return F.size(F.filter(f"{out}__words", lambda w: w.isin(own.split())))
 
-    hits = [F.struct(hit(own).alias("n"), F.lit(k).alias("k")) for k, own in WORDS.items()]
-    ranked = F.sort_array(F.array(*hits), asc=False)
+    n = {k: F.col(f"{out}__{k}") for k in _LETTERS}
+    hits = F.when(n["latin"] >= 2, F.sort_array(F.array(*[F.struct(hit(own).alias("n"), F.lit(k).alias("k")) for k, own in WORDS.items()]), asc=False))
+    df = df.withColumn(f"{out}__hits", hits)
+    ranked = F.col(f"{out}__hits")
     latin = F.when((ranked[0]["n"] >= 2) & (ranked[0]["n"] > ranked[1]["n"]), ranked[0]["k"])
     other = F.when(n["hangul"] >= 2, "ko").when(n["cyrillic"] >= 4, "ru").when(n["thai"] >= 4, "th").when(n["arabic"] >= 4, "ar").when(n["hebrew"] >= 4, "he").when(n["greek"] >= 4, "el")
-    strong = F.greatest(*[n[k] for k in ("hangul", "cyrillic", "thai", "arabic", "hebrew", "greek")])
-    return (
+    strong = F.greatest(*[n[k] for k in rare])
+    cjk = n["han"] + n["kana"]
+    found = (
         F.when((n["kana"] >= 2) & (n["kana"] * 5 >= cjk) & (cjk * 4 >= n["latin"]), "ja")
         .when((n["han"] >= 1) & (n["han"] * 4 >= n["latin"]) & (n["han"] >= strong), "zh")
         .when(strong * 2 >= n["latin"], F.coalesce(other, latin))
         .otherwise(latin)
     )
+    return df.withColumn(out, found).drop(prose, f"{out}__words", f"{out}__hits", *[f"{out}__{k}" for k in _LETTERS])
 
 
-def _unclosed(x: Column) -> Column:
+def _unclosed(x: Column, outside: Column) -> Column:
     """Whether a bracket, quotation, code fence or table row opens and never closes."""
 
     def more(opening: str, closing: str) -> Column:
         return F.length(F.regexp_replace(x, f"[^{opening}]", "")) > F.length(F.regexp_replace(x, f"[^{closing}]", ""))
 
     fences = F.size(F.split(x, "```")) % 2 == 0
-    outside = F.regexp_replace(x, r"(?s)```.*?```", " ")
     last = F.regexp_extract(x, r"(?s)(?:^|\n)[ \t]*(\|[^\n]*)$", 1)
     head = F.regexp_extract(x, r"(\|[^\n]*)\n[ \t]*\|[ :|-]*-", 1)
     bars = lambda s: F.length(F.regexp_replace(s, r"[^|]", ""))
@@ -169,26 +179,25 @@ def flag_pairs(df: DataFrame, key: str = "pair_id", question: str = "question",
     order = order if order in df.columns else None
     slim = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{question}`").alias("q"), F.col(f"`{answer}`").alias("a"), *([F.col(f"`{order}`").alias("at")] if order else []))
     pairs = durable(latest(slim, ["key"], "at" if order else None).select("key", F.regexp_replace(F.coalesce("q", F.lit("")), r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$", "").alias("q"), F.regexp_replace(F.coalesce("a", F.lit("")), r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$", "").alias("a")))
+    staged = with_language(with_language(pairs, "q", "lq"), "a", "la")
     q, a = F.col("q"), F.col("a")
-    said = _plain(F.regexp_replace(a, r"(?i)<br\s*/?>|&nbsp;|</?[a-z]{1,10}\s*/?>", ""))
-    empty = (said == "") | said.isin(*PLACEHOLDERS)
-    untagged = F.regexp_replace(a, rf"(?im)^[\s>#*\-]*(?:{TAGS})\s*[:：.．]\s*", "")
-    asked = _plain(q)
-    copied = (asked != "") & (F.replace(_plain(untagged), asked, F.lit("")) == "") & ~empty
-    refusal = F.lit(False)
-    for pattern in REFUSALS:
-        refusal = refusal | a.rlike(f"(?iu){pattern}")
-    refusal = refusal & ~a.rlike(f"(?iu){NO_REFUSALS}")
-    own = F.regexp_replace(a, r"(?s)```.*?(```|$)", " ")
-    lq, la = language(_prose(q)), language(_prose(a))
-    other = lq.isNotNull() & la.isNotNull() & (lq != la)
+    staged = staged.withColumns({
+        "said": _plain(F.regexp_replace(a, r"(?i)<br\s*/?>|&nbsp;|</?[a-z]{1,10}\s*/?>", "")),
+        "told": _plain(F.regexp_replace(a, rf"(?im)^[\s>#*\-]*(?:{TAGS})\s*[:：.．]\s*", "")),
+        "asked": _plain(q),
+        "short": a.rlike(rf"^{_CJK}{{1,4}}$|^{_WORD}( {_WORD}){{0,2}}$"),
+        "measure": a.rlike(r"\d\s?[\p{L}°µμΩ%·/²³]{1,7}$"),
+        "outside": F.regexp_replace(a, r"(?s)```.*?```", " "),
+    })
+    empty = (F.col("said") == "") | F.col("said").isin(*PLACEHOLDERS)
+    copied = (F.col("asked") != "") & (F.replace("told", F.col("asked"), F.lit("")) == "") & ~empty
+    refusal = a.rlike("(?iu)" + "|".join(f"(?:{p})" for p in REFUSALS)) & ~a.rlike(f"(?iu){NO_REFUSALS}")
+    other = F.col("lq").isNotNull() & F.col("la").isNotNull() & (F.col("lq") != F.col("la"))
     hanging = a.rlike(r"([，,、：:×～~＋+=≤≥<（(\[【“「《–—&]|(?<!-)-(?!-))$") | a.rlike(r"(的)?[^，。；,;\s]{1,8}比[^，。；高低大小多少长短快慢强弱好差]{1,10}$")
     hanging = hanging | a.rlike(rf"(?iu)(?<![\p{{L}}])({'|'.join(HANGING_WORDS.split())})$|({'|'.join(HANGING_PARTS.split())})$")
-    short_answer = a.rlike(rf"^{_CJK}{{1,4}}$|^{_WORD}( {_WORD}){{0,2}}$")
-    measure = a.rlike(r"\d\s?[\p{L}°µμΩ%·/²³]{1,7}$")
-    open_end = ~short_answer & ~measure & ~a.rlike(r"[。．.！!？?…）)”\"」』|`;；]$")
+    open_end = ~F.col("short") & ~F.col("measure") & ~a.rlike(r"[。．.！!？?…）)”\"」』|`;；]$")
     cut, context = (F.when(open_end, F.regexp_extract(a, rf"({unit})$", 1)).otherwise("") for unit in (SHORT, LONG))
-    marked = pairs.select("key", "a", empty.alias("empty"), copied.alias("copied"), refusal.alias("refusal"), other.alias("other"), ((hanging & ~short_answer & ~measure) | _unclosed(a)).alias("broken"), F.lower(cut).alias("cut"), F.lower(context).alias("context"))
+    marked = staged.select("key", empty.alias("empty"), copied.alias("copied"), refusal.alias("refusal"), other.alias("other"), ((hanging & ~F.col("short")) | _unclosed(a, F.col("outside"))).alias("broken"), F.lower(cut).alias("cut"), F.lower(context).alias("context"))
     marked = durable(marked)
     known = durable(endings(pairs, "a"))
     asked_for = marked.filter("cut <> ''").select("cut", "context").distinct()
