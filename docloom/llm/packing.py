@@ -184,7 +184,7 @@ def pack_texts(df: DataFrame, key: str = "doc_id", text: str = "text", capacity:
     """``pack`` of documents as large as their texts have ids."""
     small_batches(df.sparkSession)
     sized = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text")).select(F.col(f"`{key}`"), size_column("__text", path).alias("n_ids"))
-    return pack(sized, key, "n_ids", capacity)
+    return pack(durable(sized), key, "n_ids", capacity)  # the sort samples its input first, and the encoding must not run twice
 
 
 def fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:
