@@ -7,8 +7,10 @@ re-run does only what is left.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from docloom.functions.text import parent, stem
 from docloom.operators import embedding, markdown, summaries, tree
 from docloom.operators.models import HashedWords, Prefix
 from docloom.operators.sections import is_deck
+from docloom.runtime import durable
 
 #: Artifact kinds and the suffixes of their files; states of a document.
 SUFFIXES = {"ast": "_ast.json", "semantics": "_semantics.json", "embed": "_embed.json"}
@@ -62,8 +65,6 @@ def append(results: DataFrame, path: str, kind: str, again: bool = False) -> Non
 
 
 def _slides(text: str | None) -> str | None:
-    import json
-
     if not text:
         return None
     return json.dumps(tree.reorganise_slides(text, lambda body: [markdown.node(t, level, c) for _, t, level, c in markdown.scan(body)]), ensure_ascii=False)
@@ -84,8 +85,6 @@ def reorganised(documents: DataFrame) -> DataFrame:
         except ValueError as e:
             return None, "ERROR", str(e)
 
-    import pandas as pd
-
     @F.pandas_udf("struct<json:string,status:string,exception:string>")
     def apply(texts: pd.Series, decks: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(d, x) for x, d in zip(texts, decks)], columns=["json", "status", "exception"])
@@ -122,11 +121,8 @@ def run_pending(documents: DataFrame, path: str, slots: int | None = None, summa
             done = summarised(bounded(todo), load(spark, path, "ast"), summarizer)
         else:
             done = embedded(bounded(todo), load(spark, path, "semantics"), embedder)
-        done = done.persist()
-        try:
-            append(done, path, stage)
-            counted = spark.createDataFrame(done.groupBy("status").count().collect() or [], "status string, count long").withColumn("stage", F.lit(stage))
-        finally:
-            done.unpersist()
+        done = durable(done)  # stored once, counted and appended: what is appended must not change what is counted
+        append(done, path, stage)
+        counted = spark.createDataFrame(done.groupBy("status").count().collect(), "status string, count long").withColumn("stage", F.lit(stage))
         report = counted if report is None else report.unionByName(counted)
     return report

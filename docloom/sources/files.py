@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from docloom.functions.text import data_uri, newlines, parent, stem, strip
 
 
+def _empty_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """Paths of the files without content, which the file readers pass over."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    paths = []
+    while found.hasNext():
+        one = found.next()
+        if one.getLen() == 0 and one.getPath().getName().endswith(suffix):
+            paths.append((one.getPath().toString(),))
+    return spark.createDataFrame(paths, "path string")
+
+
 def read_markdown(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """Every matching file below ``root``: doc_id (hash of the path), file_path, root_path, title, raw_markdown.
 
@@ -15,6 +28,7 @@ def read_markdown(spark: SparkSession, root: str, pattern: str = "*.md") -> Data
     further state.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    files = files.select("path", "content").unionByName(_empty_files(spark, root, pattern.lstrip("*")).withColumn("content", F.lit(b"")))
     text = newlines(F.decode("content", "utf-8"))
     path = F.regexp_replace("path", r"^file:/*", "/")
     return files.select(F.sha2(path, 256).alias("doc_id"), path.alias("file_path"), parent(path).alias("root_path"), stem(path).alias("title"), F.when(F.length(text) > 0, text).alias("raw_markdown"))
