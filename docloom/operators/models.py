@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import posixpath
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -102,6 +103,17 @@ def image_prompt(link: str, lang: str = "zh") -> str:
     return prompt_text(link, lang)
 
 
+def image_path(root: str, node: dict) -> str:
+    """The file an image node points to, below ``root``; a node without a link, or a link of another kind, is an error."""
+    try:
+        link = node["c"][2][0]
+    except (KeyError, IndexError, TypeError):
+        raise ValueError(f"Invalid image node: {node}") from None
+    if not isinstance(link, str) or not IMAGE_LINK.fullmatch(link):
+        raise ValueError(f"Invalid image link: {link}")
+    return posixpath.normpath(posixpath.join(root, link))
+
+
 def vectors_of(payload: Any) -> list[list[float]] | None:
     """The vectors of a response: a list, a list of lists, or an object holding one; else null."""
     if not isinstance(payload, (list, dict)) and payload is not None:

@@ -42,7 +42,7 @@ def _partial(query_ids: np.ndarray, vectors: np.ndarray, k: int, metric: str, na
                 order = np.lexsort((all_i, all_d), axis=1)[:, :k]
                 best_d[lo:hi] = np.take_along_axis(all_d, order, 1)
                 best_i[lo:hi] = np.take_along_axis(all_i, order, 1)
-        got = best_i >= 0
+        got = np.isfinite(best_d)
         rows = np.broadcast_to(query_ids[:, None], got.shape)
         yield pa.RecordBatch.from_arrays([pa.array(rows[got]), pa.array(best_i[got]), pa.array(best_d[got])], names=names)
 

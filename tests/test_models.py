@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.operators import embedding, models, retrieval, sections, summaries
 from docloom.plans import pipeline
 from docloom.sources import files
+from docloom.sources.vector_store import VectorStore
 from docloom.streaming import ingest
 
 
@@ -96,6 +97,28 @@ def test_errors_and_routes():
         models.prompt_text("x", "jp")
 
 
+def test_image_paths():
+    node = lambda link: {"t": "Image", "c": [[], [], [link, ""]]}
+    assert models.image_path("/r/d", node("img/a.png")) == "/r/d/img/a.png"
+    assert models.image_path("/r/d", node("../a.png")) == "/r/a.png"
+    for bad in ({"t": "Image"}, node("a.txt"), node(None)):
+        with pytest.raises(ValueError):
+            models.image_path("/r", bad)
+
+
+def test_vector_store(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path / "v"))
+    assert store.rows().count() == 0
+    rows = [("q0", {"source": "question"}, [1.0, 0.0], "Q", "s"), ("a0", {}, [0.0, 1.0], "A", "s"), ("x", {}, None, "no", "s"), ("q0", {}, [1.0, 0.0], "T", "t")]
+    df = spark.createDataFrame(rows, "id string, metadata map<string,string>, embedding array<double>, document string, collection string")
+    store.add(df)
+    store.add(df)
+    assert store.rows().count() == 3 and {r.collection for r in store.collections().collect()} == {"s", "t"}
+    assert store.get("s", ["a0"]).first().document == "A"
+    hits = store.query(spark.createDataFrame([(1, [0.9, 0.1])], "id long, v array<double>"), "s", k=1, size=2)
+    assert hits.first().document == "Q"
+
+
 def test_tree_embedding():
     one = embedding.TreeEmbedder(models.HashedWords(8))
     section = {"t": "Section", "s": "sec", "c": [{"t": "Table", "s": "tab"}, {"t": "Para", "s": "no"}, {"t": "Image", "s": ""}]}
