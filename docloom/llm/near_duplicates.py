@@ -236,12 +236,13 @@ def all_pairs(members: DataFrame, links: DataFrame, key: str = "doc_id") -> Data
     return across.unionByName(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
-def groups(members: DataFrame, links: DataFrame, key: str = "doc_id", rounds: int = 40) -> DataFrame:
+def groups(members: DataFrame, links: DataFrame, key: str = "doc_id", rounds: int = 100) -> DataFrame:
     """One row per document: key, ``group_id`` (least key of its group), ``class_id`` and ``n_links`` of its class.
 
     Groups are the connected components of the links, found by alternating
     large-star and small-star steps on the representatives only; each round is
-    checkpointed, and it ends when no edge changes.
+    checkpointed, and it ends when no edge changes (after a few rounds, as their
+    number grows with the logarithm of the longest chain).
     """
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = ends.groupBy("a").agg(F.count("*").alias("n_links"))
@@ -258,6 +259,8 @@ def groups(members: DataFrame, links: DataFrame, key: str = "doc_id", rounds: in
         edges = nxt
         if same:
             break
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     label = edges.groupBy("u").agg(F.min("v").alias("g"))
     out = members.join(label, F.col("rep") == F.col("u"), "left").join(degree, F.col("rep") == F.col("a"), "left")
     return out.select(key, F.coalesce("g", "rep").alias("group_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

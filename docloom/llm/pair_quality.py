@@ -213,7 +213,9 @@ def flag_pairs(df: DataFrame, key: str = "pair_id", question: str = "question",
     stub = (F.length("cut") <= 2) & (F.col("context") != "") & (F.col("wide_seen") + F.col("wide_ended") == 0)
     unknown = spaced & (unseen | stub)
     judged = counts.select("cut", "context", (never | unknown).alias("abrupt"))
-    flagged = marked.join(judged, ["cut", "context"], "left")
+    # most answers end with a mark and have nothing to look up: they must not meet under one empty key
+    open_ended, closed = marked.filter("cut <> ''"), marked.filter("cut = ''")
+    flagged = open_ended.join(judged, ["cut", "context"], "left").unionByName(closed.withColumn("abrupt", F.lit(False)))
     truncated = F.col("broken") | F.coalesce("abrupt", F.lit(False))
     names = F.filter(F.array(F.when(F.col("empty"), "empty"), F.when(F.col("copied"), "copied"), F.when(F.col("refusal"), "refusal"), F.when(F.col("other") & ~F.col("empty"), "other_language"), F.when(truncated & ~F.col("empty"), "truncated")), lambda x: x.isNotNull())
     return flagged.select(F.col("key").alias(key), names.alias("defects")).filter(F.size("defects") > 0).select(key, F.col("defects")[0].alias("defect"), "defects")
