@@ -138,7 +138,7 @@ def map_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each title and text paired by position."""
     d = table(spark, sf_dir, "documents").filter("text is not null and title is not null")
-    pairs = F.arrays_zip(F.split("title", " ").alias("a"), F.slice(F.split(text.newlines("text"), "\n"), 1, 1000000).alias("b"))
+    pairs = F.arrays_zip(F.split("title", " ").alias("a"), F.split(text.newlines("text"), "\n").alias("b"))
     return d.select("doc_id", F.posexplode(pairs).alias("at", "p")).select("doc_id", F.col("at").cast("long").alias("at"), F.col("p.a").alias("a"), F.length("p.b").cast("long").alias("n_b"))
 
 
