@@ -1,13 +1,12 @@
-"""Near-duplicate records, by an LSH forest with adaptive depth.
-
-Each text has one min-hash sketch; tree number l of the forest orders all
-texts by the l-th group of its values. Texts whose orders share a prefix of
-``shallow`` values lie in one region. A region with too many texts is narrowed
-by one more value, and again, until it is small or the group is used up; so
-the depth follows the density of each region. Texts of a region are the longest
-common-prefix neighbours of each other, and thus candidates. What is left at
-full depth is compared in blocks, so no task holds it and no pair is lost.
-Candidates whose sketches rule the threshold out are dropped, the others
+"""Near-duplicate records, by an LSH forest whose dense regions are compared in blocks.
+
+Each text has one min-hash sketch; tree number l of the forest puts together
+all texts that agree on the l-th group of ``DEPTH`` values: a region. Texts of
+a region are candidates, however many they are: a small region is paired in
+one row, a larger one is cut into blocks that are compared two at a time, so
+no task holds it and the recall does not depend on how dense it is. Narrowing
+by further values would lose pairs that part there. Candidates whose sketches
+rule the threshold out are dropped (within the blocks already), the others
 compared exactly.
 """
 
@@ -24,9 +23,10 @@ from docloom.runtime import durable, latest, small_batches
 
 WIDTH = 16
 TREES = 24
-SHALLOW, DEEP = 3, 8
+DEPTH = 3
+#: Texts of a region that are paired at once, and of a block of a larger region.
 REGION = 48
-#: Values of one sketch; the trees use the first TREES * DEEP.
+#: Values of one sketch; the trees use the first TREES * DEPTH.
 VALUES = 256
 #: Sketches may underrate the similarity by this much: more than four standard deviations at VALUES values.
 SLACK = 0.15
@@ -88,9 +88,9 @@ def sketch(hashes: np.ndarray, values: int = VALUES) -> np.ndarray:
 
 
 def _signatures(width: int, trees: int) -> object:
-    """By text: size of its set, one byte of each value, and the prefix hashes of each tree and depth."""
+    """By text: size of its set, one byte of each value, and the region in each tree."""
 
-    @F.pandas_udf("struct<n:int,bytes:binary,keys:array<array<long>>>")
+    @F.pandas_udf("struct<n:int,bytes:binary,keys:array<long>>")
     def signatures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             n, low, keys = [], [], []
@@ -103,14 +103,11 @@ def _signatures(width: int, trees: int) -> object:
                     continue
                 v = sketch(s)
                 low.append((v & np.uint64(255)).astype(np.uint8).tobytes())
-                part = v[: trees * DEEP].reshape(trees, DEEP)
+                part = v[: trees * DEPTH].reshape(trees, DEPTH)
                 key = np.arange(1, trees + 1, dtype=np.uint64)
-                prefix = []
-                for d in range(DEEP):
+                for d in range(DEPTH):
                     key = _mix(key * _M1 + part[:, d])
-                    if d + 1 >= SHALLOW:
-                        prefix.append(key)
-                keys.append(np.stack(prefix, axis=1).view(np.int64).tolist())
+                keys.append(key.view(np.int64).tolist())
             yield pd.DataFrame({"n": np.array(n, np.int32), "bytes": low, "keys": keys})
 
     return signatures
@@ -149,23 +146,36 @@ def normalised(text: Column) -> Column:
     return F.translate(text, BLANKS, "")
 
 
-def candidates(forest: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of the ``rep`` that share a region; ``forest`` has rep and keys (one per depth)."""
-    rows = forest
-    found = []
-    for depth in range(DEEP - SHALLOW + 1):
-        at = rows.withColumn("region", F.col("keys")[depth])
-        size = at.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
-        at = at.join(size, "region")
-        small = at.filter(F.col("size") <= REGION)
-        groups = small.groupBy("region").agg(F.array_sort(F.collect_list("rep")).alias("r"))
-        found.append(_ordered(groups))
-        rows = at.filter(F.col("size") > REGION).select("rep", "keys")
-        if depth == 0:
-            rows = durable(rows)
-            if rows.isEmpty():
-                return found[0].distinct()
-    return found[0].unionByName(_rest(found[1:], rows)).distinct()
+def _close(threshold: float) -> object:
+    """Places (i, j) in two blocks of the pairs that sizes and sketches do not rule out."""
+
+    @F.pandas_udf("array<struct<i:int,j:int>>")
+    def close(na: pd.Series, a: pd.Series, nb: pd.Series, b: pd.Series, same: pd.Series) -> pd.Series:
+        out = []
+        for m, s, n, t, one in zip(na, a, nb, b, same):
+            x, y = (np.frombuffer(b"".join(z), np.uint8).reshape(len(z), -1) for z in (s, t))
+            m, n = np.asarray(m)[:, None], np.asarray(n)[None]
+            ok = np.minimum(m, n) >= threshold * np.maximum(m, n)
+            for i in range(len(x)):
+                ok[i] &= ((x[i] == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= threshold - SLACK
+            i, j = np.nonzero(np.triu(ok, 1) if one else ok)
+            out.append([{"i": p, "j": q} for p, q in zip(i.tolist(), j.tolist())])
+        return pd.Series(out, dtype=object)
+
+    return close
+
+
+def candidates(forest: DataFrame, side: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a < b) of the ``rep`` that share a region, less those that the sketches rule out in the dense ones.
+
+    ``forest`` has rep and region (one row per tree), ``side`` has rep, n and bytes.
+    """
+    size = forest.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
+    at = forest.join(size, "region")
+    small = at.filter(F.col("size") <= REGION).groupBy("region").agg(F.array_sort(F.collect_list("rep")).alias("r"))
+    dense = durable(at.filter(F.col("size") > REGION))
+    found = _ordered(small)
+    return (found if dense.isEmpty() else found.unionByName(_in_blocks(dense.join(side, "rep"), threshold))).distinct()
 
 
 def _ordered(groups: DataFrame) -> DataFrame:
@@ -174,20 +184,19 @@ def _ordered(groups: DataFrame) -> DataFrame:
     return pairs.select("a", F.explode(F.slice("r", F.col("i") + 2, F.lit(4 * REGION))).alias("b"))
 
 
-def _rest(deeper: list[DataFrame], dense: DataFrame) -> DataFrame:
-    """Pairs of the deeper regions, and of those still too dense at full depth, block against block."""
-    out = deeper[0]
-    for x in deeper[1:]:
-        out = out.unionByName(x)
-    at = dense.withColumn("region", F.element_at("keys", -1))
-    size = at.groupBy("region").agg(F.ceil(F.count("*") / REGION).cast("int").alias("blocks"))
-    at = at.select("rep", "region").join(size, "region")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    each = at.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = each.select("rep", "mine", "region", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    left, right = cell.filter("mine = x").select("region", "x", "y", F.col("rep").alias("a")), cell.filter("mine = y").select("region", "x", "y", F.col("rep").alias("b"))
-    pairs = left.join(right, ["region", "x", "y"]).filter((F.col("x") != F.col("y")) | (F.col("a") < F.col("b")))
-    return out.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+def _in_blocks(dense: DataFrame, threshold: float) -> DataFrame:
+    """Close pairs of the dense regions, every block against every block of its region."""
+    at = dense.withColumn("blocks", F.ceil(F.col("size") / REGION).cast("int"))
+    at = at.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cut = durable(at.groupBy("region", "blocks", "mine").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "bytes"))).alias("r")))
+    each = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = each.select("r", "mine", "region", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    left, right = cell.filter("mine = x").withColumnRenamed("r", "p"), cell.filter("mine = y").withColumnRenamed("r", "q")
+    cells = left.drop("mine").join(right.drop("mine"), ["region", "x", "y"])
+    hits = _close(threshold)(F.col("p.n"), F.col("p.bytes"), F.col("q.n"), F.col("q.bytes"), F.col("x") == F.col("y"))
+    reps = cells.select(F.col("p.rep").alias("p"), F.col("q.rep").alias("q"), hits.alias("hits"))
+    pairs = reps.select(F.explode(F.transform("hits", lambda h: F.struct(F.col("p")[h.i].alias("a"), F.col("q")[h.j].alias("b")))).alias("h"))
+    return pairs.select(F.least("h.a", "h.b").alias("a"), F.greatest("h.a", "h.b").alias("b"))
 
 
 def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "raw_markdown", order: str | None = "ingested_at", threshold: float = 0.6, width: int = WIDTH, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
@@ -214,8 +223,8 @@ def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "raw_markdown"
     own = members.filter("id = rep").select("digest", "rep")
     sketches = signed.groupBy("digest").agg(F.first("n").alias("n"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys")).join(own, "digest")
     sketches = durable(sketches.select("rep", "n", "bytes", "keys"))
-    pairs = candidates(sketches.select("rep", F.explode("keys").alias("keys")))
     side = sketches.select("rep", "n", "bytes")
+    pairs = candidates(sketches.select("rep", F.explode("keys").alias("region")), side, threshold)
     close = pairs.join(side.toDF("a", "na", "ba"), "a").join(side.toDF("b", "nb", "bb"), "b")
     close = close.filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     close = durable(close.filter(_estimated()("ba", "bb") >= threshold - SLACK).select("a", "b"))

@@ -79,6 +79,24 @@ def test_dense_regions_keep_every_pair(spark, monkeypatch):
     assert {tuple(r) for r in nd.all_pairs(members, links).collect()} == brute(docs) and len(brute(docs)) == 780
 
 
+def test_large_family_of_revisions(spark):
+    """Several hundred texts, most pairs of similarity 0.6 to 0.7: being many must not cost recall."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base = [rng.choice(letters) for _ in range(1500)]
+    docs = {}
+    for i in range(300):
+        own = list(base)
+        for at in rng.sample(range(0, 1500, 50), 3):
+            own[at : at + 40] = [rng.choice(letters) for _ in range(40)]
+        docs[f"r{i:03}"] = "".join(own)
+    want = brute(docs)
+    members, links = nd.similar_texts(frame(spark, docs))
+    got = {tuple(r) for r in nd.all_pairs(members, links).collect()}
+    assert len(want) > 20_000 and not got - want
+    assert len(got) >= 0.99 * len(want), (len(got), len(want))
+
+
 def test_groups(spark):
     rng = random.Random(2)
     ids = [f"k{i:03}" for i in range(120)]
