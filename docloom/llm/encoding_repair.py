@@ -61,8 +61,6 @@ for _r, _w in CHANNELS:
 #: What the replacement character itself becomes when it is read wrongly once more.
 TRACES = re.compile("�|锟斤拷|锟斤|斤拷|ï¿½|嚙踝蕭|嚙|[\u0080-\u0084\u0086-\u009f]|[\U000e1000-\U000effff]")
 
-_LONE = re.compile("(?<!�)�(?!�)")
-
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -189,6 +187,9 @@ class Model:
         common.sort(key=lambda ch: -chars[ord(ch)])
         self.common = common
         self._fits: dict[tuple[str, tuple[int, ...]], list[str]] = {}
+        #: The least bits of a character, whatever stands before it.
+        self.least = self._log - np.log2(chars + 0.46)
+        self.floor = float(self.least.min())
 
     def cost(self, a: str, b: str) -> float:
         """Bits of the pair: how rarely documents hold it."""
@@ -197,7 +198,7 @@ class Model:
             x, y = ord(a), ord(b)
             bucket = (((x << 21 | y) * int(_HASH) & (1 << 64) - 1) >> 43) % PAIRS
             chance = min(1.0, float(self.chars[x]) * float(self.chars[y]) / self.docs / 50)
-            got = self._log - float(np.log2(float(self.pairs[bucket]) + 0.4 * chance + 0.05 * (self.chars[y] > 0) + 0.01))
+            got = self._log - float(np.log2(min(float(self.pairs[bucket]), float(self.chars[x]), float(self.chars[y])) + 0.4 * chance + 0.05 * (self.chars[y] > 0) + 0.01))
             if len(self._cost) > 500_000:
                 self._cost.clear()
             self._cost[a, b] = got
@@ -206,7 +207,7 @@ class Model:
     def costs(self, text: str) -> np.ndarray:
         codes = _codes(text)
         x, y = self.chars[codes[:-1]], self.chars[codes[1:]]
-        n = self.pairs[_buckets(codes)]
+        n = np.minimum(np.minimum(x, y), self.pairs[_buckets(codes)])
         return self._log - np.log2(n + 0.4 * np.minimum(1.0, x * (y / self.docs) / 50) + 0.05 * (y > 0) + 0.01)
 
     def fits(self, codec: str, pattern: tuple[int, ...]) -> list[str]:
@@ -225,6 +226,33 @@ class Model:
         return got
 
     @lru_cache(maxsize=64)  # noqa: B019  (one model per worker)
+    def least_of_two(self, codec: str) -> np.ndarray:
+        """The least bits of the character of each two bytes (lead * 256 + trail); infinite where there is none."""
+        out = np.full(65536, np.inf)
+        for lead in range(256):
+            if 2 in _lengths(codec, lead):
+                for trail in range(256):
+                    ch = _char(codec, (lead, trail))
+                    if ch is not None:
+                        out[lead << 8 | trail] = self.least[ord(ch)]
+        return out
+
+    @lru_cache(maxsize=64)  # noqa: B019
+    def least_of_one(self, codec: str) -> np.ndarray:
+        """The same of single bytes."""
+        chars = [_char(codec, (b,)) if 1 in _lengths(codec, b) else None for b in range(256)]
+        return np.array([np.inf if ch is None else self.least[ord(ch)] for ch in chars])
+
+    @lru_cache(maxsize=4)  # noqa: B019
+    def least_of_lead(self) -> np.ndarray:
+        """The least bits of any character by its first byte in UTF-8."""
+        out = np.full(256, np.inf)
+        codes = np.arange(0x80, CHARS)
+        lead = np.where(codes < 0x800, 0xC0 | codes >> 6, np.where(codes < 0x10000, 0xE0 | codes >> 12, 0xF0 | codes >> 18))
+        np.minimum.at(out, lead, self.least[codes])
+        return out
+
+    @lru_cache(maxsize=64)  # noqa: B019
     def _spelled(self, codec: str, length: int) -> tuple[list[str], np.ndarray]:
         """The common characters of ``length`` bytes in an encoding, the most common first, and their bytes."""
         chars, rows = [], []
@@ -300,58 +328,106 @@ def search(model: Model, text: str, read: str, written: str) -> tuple[float, str
     return plain - cost, "".join(reversed(out))
 
 
-def _read(text: str, codec: str) -> tuple[bytes, str]:
-    """The bytes of the characters that can have been read in ``codec``, and those characters."""
-    if codec == "utf-16":
-        data = text.encode("utf-16-be", "ignore")
-        return data, text
-    if codec != "utf-8":
-        text = text.replace("�", "")  # it stands for lost bytes, not for its own
-    data = codecs.charmap_encode(text, "ignore", _ordinals(codec))[0] if codec in READ_SINGLE else text.encode(codec, "ignore")
-    return data, codecs.charmap_decode(data, "replace", _alphabet(codec))[0] if codec in READ_SINGLE else data.decode(codec, "ignore")
-
-
-@lru_cache(maxsize=None)
-def _ordinals(codec: str) -> dict[int, int]:
-    return {ord(ch): b for ch, b in _single_map(codec).items()}
-
-
-@lru_cache(maxsize=None)
-def _alphabet(codec: str) -> str:
-    by = {b: ch for ch, b in _single_map(codec).items()}
-    return "".join(by.get(b, "�") for b in range(256))
-
+def _pieces(model: Model, data: np.ndarray, written: str, drops: bool) -> list[tuple[int, np.ndarray]]:
+    """(length, least bits of the character that so many bytes can mean, by first byte; infinite where none)."""
+    n = len(data) - 3  # three places behind the end
+    a, b, c, d = data[:n], data[1 : n + 1], data[2 : n + 2], data[3:]
+    known = lambda *x: np.logical_and.reduce([v >= 0 for v in x])
+    if written == "utf-8":
+        rest = lambda x: (x >= 0x80) & (x < 0xC0)
+        of = lambda ok, code: np.where(ok, model.least[np.where(ok, code, 0)], np.inf)
+        code4 = (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63
+        out = [
+            (2, of((a >= 0xC2) & (a < 0xE0) & rest(b), (a & 31) << 6 | b & 63)),
+            (3, of((a >= 0xE0) & (a < 0xF0) & rest(b) & rest(c), (a & 15) << 12 | (b & 63) << 6 | c & 63)),
+            (4, of((a >= 0xF0) & (a < 0xF5) & rest(b) & rest(c) & rest(d) & (code4 < CHARS), code4)),
+        ]
+        if drops:
+            least = np.where(a >= 0xC2, model.least_of_lead()[np.maximum(a, 0)], np.inf) + DROPPED
+            out += [(1, np.where(a < 0xE0, least, np.inf)), (2, np.where((a >= 0xE0) & (a < 0xF0) & rest(b), least, np.inf)), (3, np.where((a >= 0xF0) & rest(b) & rest(c), least, np.inf))]
+        return out
+    one = np.where(known(a), model.least_of_one(written)[np.maximum(a, 0)], np.inf) if written != "swapped" else None
+    out = [] if one is None else [(1, np.where(a >= 0x80, one, np.inf))]
+    if written not in ("cp1251", "koi8_r", "cp1252"):
+        out.append((2, np.where(known(a, b), model.least_of_two(written)[np.maximum(a, 0) << 8 | np.maximum(b, 0)], np.inf)))
+    if written == "gb18030":
+        out.append((4, np.where((a >= 0x81) & (b >= 0x30) & (b < 0x3A) & (c >= 0x81) & (d >= 0x30) & (d < 0x3A), model.floor, np.inf)))
+    if written == "euc_jp":
+        out.append((3, np.where((a == 0x8F) & known(b, c), model.floor, np.inf)))
+    return out
 
-#: Bits against a channel for each rare character that cannot have been read in its encoding.
-UNREAD = 8.0
-#: Channels searched for one stretch, and the bits by which a whole stretch, clean surroundings included, may lose.
-TRIED, WORST = 4, 120.0
 
+def _bounds(model: Model, text: str) -> list[tuple[float, str, str]]:
+    """Channels with the bits that no path of theirs can gain more than, the highest first; infinite where bytes are lost.
 
-def _rough(model: Model, text: str) -> list[tuple[float, str, str]]:
-    """Channels by the bits gained if the whole stretch were decoded without search, the best first."""
+    Each character that bytes can mean is taken at its least cost after any
+    other, and so is the text's next character after what is decoded. Channels
+    that cannot gain the margin are left out.
+    """
+    plain = model.costs("\n" + text)
+    fall = np.maximum(plain - model.least[_codes(text)], 0)
     found = []
-    odd = int(model.rare[_codes(text)].sum())
     for read, ways in _BY_READ.items():
-        data, own = _read(text, read)
-        unread = odd - int(model.rare[_codes(own)].sum()) if own else odd
-        if len(own) < 2 or (read != "utf-16" and own.isascii()):
+        units = as_bytes(text, read)
+        if not any(units):
+            continue
+        if any(ANY in u for u in units):
+            found += [(float("inf"), read, written) for written in ways]
             continue
-        before = None
+        size = np.array([len(u) or 1 for u in units])
+        data = np.array([b for u in units for b in (u or (-9,))] + [-9] * 3)
+        n, start = len(data) - 3, np.cumsum(size) - size
+        saved = np.concatenate([[0.0], np.cumsum(np.repeat(plain / size, size))])
+        after, step = np.zeros(n + 1), np.zeros(n, int)
+        after[start], step[start] = fall, size
+        single = np.flatnonzero((data[:n] >= 0) & (data[:n] < 0x80) & (np.repeat(size, size) > 1))
         for written in ways:
-            out = data.decode("utf-16-le" if written == "swapped" else written, "replace")
-            lost = out.count("�")
-            if len(out) < 2 or 2 * lost > len(out) or out == own:
+            margin = MARGIN_UTF8 if written == "utf-8" else MARGIN
+            at, ends, gains = [], [], []
+            for k, least in _pieces(model, data, written, written == "utf-8" and read in READ_DOUBLE):
+                where = np.flatnonzero(np.isfinite(least[: max(0, n - k + 1)]))
+                if len(where):
+                    at.append(where)
+                    ends.append(where + k)
+                    gains.append(saved[where + k] - saved[where] - least[where])
+            if not at:
                 continue
-            if before is None:
-                before = float(np.minimum(model.costs("\n" + own), 20).sum())
-            found.append((before - float(np.minimum(model.costs("\n" + out), 20).sum()) - UNREAD * unread, read, written))
-    if _LONE.search(text):  # single bytes lost between sound characters: nothing is left to decode before the search
-        found.append((0.0, "utf-8", "cp1252"))
-    found.sort(reverse=True)
+            if len(single) and written != "swapped":
+                at.append(single)
+                ends.append(single + 1)
+                gains.append(saved[single + 1] - saved[single] - model.least[data[single]])
+            p, q, g = np.concatenate(at), np.concatenate(ends), np.concatenate(gains)
+            if np.maximum(g + after[q], 0).sum() < margin:
+                continue
+            bound = _best_sum(n, p, q, g, after.tolist(), step.tolist())
+            if bound >= margin:
+                found.append((bound, read, written))
+    found.sort(key=lambda x: -x[0])
     return found
 
 
+def _best_sum(n: int, p: np.ndarray, q: np.ndarray, gain: np.ndarray, after: list[float], step: list[int]) -> float:
+    """The most that disjoint pieces (from p to q) and the characters after them can save together."""
+    edges: dict[int, list[tuple[int, float]]] = {}
+    for a, b, g in zip(p.tolist(), q.tolist(), gain.tolist()):
+        edges.setdefault(a, []).append((b, g))
+    low = -1e18
+    kept, inside = [low] * (n + 1), [low] * (n + 1)
+    kept[0] = 0.0
+    for at in range(n):
+        x, y = kept[at], inside[at]
+        if x == low and y == low:
+            continue
+        if step[at]:
+            to = at + step[at]
+            kept[to] = max(kept[to], x, y + after[at])
+        into = max(x - ENTER, y)
+        for to, g in edges.get(at, ()):
+            if into + g > inside[to]:
+                inside[to] = into + g
+    return max(kept[n], inside[n])
+
+
 def _utf8_under(codec: str) -> str:
     """Pattern of UTF-8 sequences read in a single-byte encoding."""
     by = {b: ch for ch, b in _single_map(codec).items()}
@@ -392,18 +468,20 @@ PART = 600
 
 
 def repair_stretch(model: Model, text: str, rounds: int = 3) -> tuple[float, str, str | None]:
-    """(bits gained, restored text, channel of the first round) of one stretch."""
+    """(bits gained, restored text, channel of the first round) of one stretch.
+
+    All channels are searched, but those that provably cannot gain the margin or more than the best so far.
+    """
     total, first = 0.0, None
     for _ in range(rounds):
         best = (0.0, text, None)
-        for rough, read, written in _rough(model, text)[:TRIED]:
-            if rough < -WORST or (best[2] and rough < 0):
+        for bound, read, written in _bounds(model, text):
+            least = MARGIN_UTF8 if written == "utf-8" else MARGIN
+            if bound + 1e-6 < best[0]:
                 break
             gain, out = search(model, text, read, written)
-            if gain >= (MARGIN_UTF8 if written == "utf-8" else MARGIN) and gain > best[0]:
+            if gain >= least and gain > best[0]:
                 best = (gain, out, f"{written} read as {read}")
-                if gain >= rough and not stretches(model, out):
-                    break  # nothing suspicious is left, and no later channel promises more
         if best[2] is None:
             break
         total += best[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -88,3 +89,17 @@ def test_operator_edges(spark):
     got = sorted((str(r.doc_id) for r in er.restore(df).collect()))
     assert got == ["4", "4", "None"]
     assert er.restore(df.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("long", ["ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำแน่นอน" * 6, "اللغة العربية هي أكثر اللغات السامية تحدثا" * 6, "한국어는대한민국과조선민주주의인민공화국의공용어이다" * 6])
+def test_short_damage_inside_long_rare_text(model, long):
+    half = len(long) // 2
+    bad = long[:half] + " caf" + "Ã©" + " itâ€™s " + long[half:]
+    pairs, chars = model.pairs.copy(), model.chars.copy()  # counts are over all texts, these included
+    for x in (long, bad):
+        pairs[np.unique(er._buckets(er._codes(x)))] += 1
+        chars[np.unique(er._codes(x))] += 1
+    own = er.Model(pairs, chars, model.docs + 2)
+    damaged, restored, _, _ = er.repair(own, bad)
+    assert damaged and restored == long[:half] + " café it’s " + long[half:]
+    assert er.repair(own, long)[:2] == (False, long)
