@@ -463,10 +463,6 @@ def stretches(model: Model, text: str) -> list[tuple[int, int]]:
     return merged
 
 
-#: Longest stretch searched at once; longer ones are searched in consecutive parts of this size, all of them.
-PART = 600
-
-
 def repair_stretch(model: Model, text: str, rounds: int = 3) -> tuple[float, str, str | None]:
     """(bits gained, restored text, channel of the first round) of one stretch.
 
@@ -496,15 +492,13 @@ def repair(model: Model, text: str) -> tuple[bool, str, list[str], float]:
     """(damaged, restored text, channels, bits gained) of a whole text."""
     out, at, channels, gained = [], 0, [], 0.0
     for a, b in stretches(model, text):
-        for lo in range(a, b, PART):
-            hi = min(b, lo + PART)
-            gain, fixed, channel = repair_stretch(model, text[lo:hi])
-            if channel:
-                out += [text[at:lo], fixed]
-                at = hi
-                gained += gain
-                if channel not in channels:
-                    channels.append(channel)
+        gain, fixed, channel = repair_stretch(model, text[a:b])
+        if channel:
+            out += [text[at:a], fixed]
+            at = b
+            gained += gain
+            if channel not in channels:
+                channels.append(channel)
     damaged = bool(channels) or bool(TRACES.search(text))
     return damaged, "".join([*out, text[at:]]), channels, gained
 

@@ -103,3 +103,10 @@ def test_short_damage_inside_long_rare_text(model, long):
     damaged, restored, _, _ = er.repair(own, bad)
     assert damaged and restored == long[:half] + " café it’s " + long[half:]
     assert er.repair(own, long)[:2] == (False, long)
+
+
+@pytest.mark.parametrize(("read", "written"), [("cp1252", "utf-8"), ("koi8_r", "utf-8")])
+def test_long_damage_is_restored_without_borders(model, sound, read, written):
+    han = [x for x in sound if sum("一" <= ch <= "鿿" for ch in x) > 20]
+    text = "".join(han)[:3000]
+    assert er.repair(model, damage(text, read, written))[1] == text
