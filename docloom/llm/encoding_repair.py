@@ -38,8 +38,6 @@ MARGIN_UTF8, MARGIN = 8.0, 16.0
 ENTER = 3.0
 #: Bits for a last byte that was dropped without a trace.
 DROPPED = 5.0
-#: Paths kept at each byte.
-BEAM = 4
 
 #: Encodings that were wrongly assumed, and those in which the text was written.
 READ_SINGLE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp1250", "cp866", "iso8859_15", "cp1254")
@@ -183,7 +181,7 @@ class Model:
         self.rare[:0x80] = False
         self._log = np.log2(self.docs + 1)
         self._cost: dict[tuple[str, str], float] = {}
-        common = [chr(c) for c in np.flatnonzero(chars >= max(0.002 * self.docs, 2)) if c >= 0x80]
+        common = [chr(c) for c in np.flatnonzero(chars) if c >= 0x80 and not 0xD800 <= c < 0xE000 and c != 0xFFFD]
         common.sort(key=lambda ch: -chars[ord(ch)])
         self.common = common
         self._fits: dict[tuple[str, tuple[int, ...]], list[str]] = {}
@@ -204,6 +202,14 @@ class Model:
             self._cost[a, b] = got
         return got
 
+    def matrix(self, before: list[str], after: list[str]) -> np.ndarray:
+        """The same of each character after each."""
+        x, y = (np.array([ord(ch) for ch in z]) for z in (before, after))
+        pair = np.stack([np.repeat(x, len(y)), np.tile(y, len(x))], axis=1).ravel()
+        n = self.pairs[_buckets(pair)[::2]].reshape(len(x), len(y))
+        a, b = self.chars[x][:, None], self.chars[y][None]
+        return self._log - np.log2(np.minimum(np.minimum(a, b), n) + 0.4 * np.minimum(1.0, a * (b / self.docs) / 50) + 0.05 * (b > 0) + 0.01)
+
     def costs(self, text: str) -> np.ndarray:
         codes = _codes(text)
         x, y = self.chars[codes[:-1]], self.chars[codes[1:]]
@@ -211,7 +217,7 @@ class Model:
         return self._log - np.log2(n + 0.4 * np.minimum(1.0, x * (y / self.docs) / 50) + 0.05 * (y > 0) + 0.01)
 
     def fits(self, codec: str, pattern: tuple[int, ...]) -> list[str]:
-        """Common characters whose bytes in ``codec`` match a pattern with lost bytes."""
+        """All characters of the corpus whose bytes in ``codec`` match a pattern with lost bytes."""
         got = self._fits.get((codec, pattern))
         if got is None:
             chars, table = self._spelled(codec, len(pattern))
@@ -219,7 +225,7 @@ class Model:
             for at, p in enumerate(pattern):
                 if p != ANY:
                     ok &= table[:, at] == p
-            got = [chars[k] for k in np.flatnonzero(ok)[: 3 * BEAM]]
+            got = [chars[k] for k in np.flatnonzero(ok)]
             if len(self._fits) > 100_000:
                 self._fits.clear()
             self._fits[codec, pattern] = got
@@ -254,7 +260,7 @@ class Model:
 
     @lru_cache(maxsize=64)  # noqa: B019
     def _spelled(self, codec: str, length: int) -> tuple[list[str], np.ndarray]:
-        """The common characters of ``length`` bytes in an encoding, the most common first, and their bytes."""
+        """The corpus' characters of ``length`` bytes in an encoding, the most common first, and their bytes."""
         chars, rows = [], []
         for ch in self.common:
             try:
@@ -278,21 +284,18 @@ def search(model: Model, text: str, read: str, written: str) -> tuple[float, str
         starts[len(flat)] = i
         flat += data or [None]
     n = len(flat)
-    # beams[p]: last character -> (cost, decoding?, back pointer, emitted)
-    beams: list[dict] = [{} for _ in range(n + 1)]
-    beams[0][("\n", False)] = (0.0, None, "")
+    # states[p]: (last character, decoded?) -> (cost, path so far as linked pairs); all states are kept
+    states: list[dict | None] = [{} for _ in range(n + 1)]
+    states[0] = {("\n", False): (0.0, None)}
     lengths, drops = _lengths, written == "utf-8" and read in READ_DOUBLE
     for p in range(n):
-        here = beams[p]
+        here, states[p] = states[p], None
         if not here:
             continue
-        if len(here) > BEAM:
-            here = dict(sorted(here.items(), key=lambda kv: kv[1][0])[:BEAM])
-            beams[p] = here
         i = starts.get(p)
-        edges: list[tuple[int, str, bool, float]] = []
+        edges: list[tuple[int, list[str], bool, float]] = []
         if i is not None:
-            edges.append((p + max(1, len(units[i])), text[i], False, 0.0))
+            edges.append((p + max(1, len(units[i])), [text[i]], False, 0.0))
         lead = flat[p]
         if lead is not None:
             for k in lengths(written, lead):
@@ -302,29 +305,38 @@ def search(model: Model, text: str, read: str, written: str) -> tuple[float, str
                 pattern = tuple(piece)
                 if ANY in pattern:
                     if pattern.count(ANY) == 1 or (written == "utf-8" and pattern[0] != ANY):
-                        edges += [(p + k, ch, True, 0.0) for ch in model.fits(written, pattern)]
+                        edges.append((p + k, model.fits(written, pattern), True, 0.0))
                 else:
                     ch = _char(written, pattern)
                     if ch is not None and (ch != text[i] if i is not None and k == len(units[i]) else True):
-                        edges.append((p + k, ch, True, 0.0))
+                        edges.append((p + k, [ch], True, 0.0))
                 if drops and k > 1 and ANY not in pattern and not 0x80 <= pattern[-1] < 0xC0 and all(0x80 <= b < 0xC0 for b in pattern[1:-1]):
-                    edges += [(p + k - 1, ch, True, DROPPED) for ch in model.fits(written, (*pattern[:-1], ANY))]
-        for (last, inside), (cost, _, _) in here.items():
-            for q, ch, decoded, extra in edges:
-                step = cost + model.cost(last, ch) + extra + (ENTER if decoded and not inside else 0.0)
-                key = (ch, decoded)
-                old = beams[q].get(key)
-                if old is None or step < old[0]:
-                    beams[q][key] = (step, (p, (last, inside)), ch)
+                    edges.append((p + k - 1, model.fits(written, (*pattern[:-1], ANY)), True, DROPPED))
+        for q, chars, decoded, extra in edges:
+            there = states[q]
+            if len(here) * len(chars) > 32:  # many at once
+                lasts = list(here)
+                before = np.array([here[k][0] + (ENTER if decoded and not k[1] else 0.0) for k in lasts])
+                steps = before[:, None] + model.matrix([k[0] for k in lasts], chars)
+                for ch, k, step in zip(chars, steps.argmin(axis=0).tolist(), (steps.min(axis=0) + extra).tolist()):
+                    old = there.get((ch, decoded))
+                    if old is None or step < old[0]:
+                        there[ch, decoded] = (step, (here[lasts[k]][1], ch))
+                continue
+            for (last, inside), (cost, path) in here.items():
+                for ch in chars:
+                    step = cost + model.cost(last, ch) + extra + (ENTER if decoded and not inside else 0.0)
+                    old = there.get((ch, decoded))
+                    if old is None or step < old[0]:
+                        there[ch, decoded] = (step, (path, ch))
     plain = sum(model.cost(a, b) for a, b in zip("\n" + text, text))
-    if not beams[n]:
+    if not states[n]:
         return 0.0, text
-    key, (cost, back, ch) = min(beams[n].items(), key=lambda kv: kv[1][0])
+    cost, path = min(states[n].values(), key=lambda v: v[0])
     out = []
-    while back is not None:
+    while path is not None:
+        path, ch = path
         out.append(ch)
-        p, key = back
-        _, back, ch = beams[p][key]
     return plain - cost, "".join(reversed(out))
 
 

@@ -110,3 +110,22 @@ def test_long_damage_is_restored_without_borders(model, sound, read, written):
     han = [x for x in sound if sum("一" <= ch <= "鿿" for ch in x) > 20]
     text = "".join(han)[:3000]
     assert er.repair(model, damage(text, read, written))[1] == text
+
+
+def test_every_character_that_fits_is_kept(model):
+    """A rare trail byte at a GBK lead with many commoner characters is decided by its neighbours."""
+    lead = max(range(0xB0, 0xD8), key=lambda b: len(model.fits("gb18030", (b, er.ANY))))
+    fits = model.fits("gb18030", (lead, er.ANY))
+    assert len(fits) > 12 and {ch.encode("gb18030")[0] for ch in fits} == {lead}
+    chars, pairs = model.chars.copy(), model.pairs.copy()
+    last = fits[-1]
+    word = "轴" + last + "承"
+    for i in np.unique(er._buckets(er._codes(word))):
+        pairs[i] = chars[er._codes(word)].max()
+    chars[er._codes(word)] = np.maximum(chars[er._codes(word)], 1)
+    own = er.Model(pairs, chars, model.docs)
+    bad = "轴".encode("gb18030").decode("cp1252", "ignore")
+    assert last in own.fits("gb18030", (lead, er.ANY)) and bad is not None
+    table = {b: ch for ch, b in er._single_map("cp1252").items()}
+    read = "".join(table[b] for b in "轴".encode("gb18030")) + table[lead] + "�" + "".join(table[b] for b in "承".encode("gb18030"))
+    assert er.search(own, read, "cp1252", "gb18030")[1] == word
