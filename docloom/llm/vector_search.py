@@ -5,6 +5,8 @@ random hyperplanes) and keeps the vectors sorted by it. In a sorted array the
 neighbours of a vector are its longest-prefix matches, of whatever length the
 region's density gives; reading outward ascends to shorter prefixes. All trees
 are read outward by the same number of blocks, and the best of all are merged.
+The number of trees follows the counted rows, so that the chance of meeting a
+neighbour does not fall as the table grows; they are built a few at a time.
 Trees are range partitions of one distributed sort, so no task holds a tree,
 and blocks are compared by one matrix product each. Vectors are compared once
 per distinct value: copies join their class first.
@@ -12,6 +14,7 @@ per distinct value: copies join their class first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +26,12 @@ from pyspark.sql.window import Window
 
 from docloom.runtime import durable
 
+#: Trees at least, and built at once.
 TREES = 32
 BLOCK = 256
 BITS = 64
+#: A neighbour at cosine 0.5 shares each bit with chance 2/3 and should be met with this chance.
+AGREE, TARGET = 2 / 3, 0.95
 
 
 def usable(vector: Column, size: int) -> Column:
@@ -34,20 +40,30 @@ def usable(vector: Column, size: int) -> Column:
     return F.coalesce((F.size(vector) == size) & good & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def trees_for(rows: int, block: int = BLOCK) -> int:
+    """Trees in which a neighbour at cosine 0.5 among so many rows is met at least once with chance ``TARGET``.
+
+    At least one block to each side is read, so a window of two holds those
+    that agree on the first log2(rows / window) bits.
+    """
+    met = AGREE ** max(0.0, math.log2(max(rows, 1) / (2 * block)))
+    return TREES if met >= 1 else max(TREES, math.ceil(math.log(1 - TARGET) / math.log1p(-met)))
+
+
 def _planes(tree: int, size: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, tree]).standard_normal((size, BITS)).astype(np.float32)
 
 
-def _hashes(size: int, trees: int, seed: int) -> object:
+def _hashes(size: int, trees: range, seed: int) -> object:
     @F.pandas_udf("array<binary>")
     def strings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        planes = np.concatenate([_planes(t, size, seed) for t in range(trees)], axis=1)
+        planes = np.concatenate([_planes(t, size, seed) for t in trees], axis=1)
         for vectors in batches:
             if not len(vectors):
                 yield pd.Series([], dtype=object)
                 continue
             bits = np.stack(vectors.to_numpy()).astype(np.float32) @ planes > 0
-            packed = np.packbits(bits.reshape(len(bits), trees, BITS), axis=2)
+            packed = np.packbits(bits.reshape(len(bits), len(trees), BITS), axis=2)
             yield pd.Series([[x.tobytes() for x in row] for row in packed], dtype=object)
 
     return strings
@@ -103,7 +119,7 @@ def _blocks(k: int, size: int, block: int) -> object:
     return run
 
 
-def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 4, size: int = 64, trees: int = TREES, block: int = BLOCK, seed: int = 11) -> DataFrame:
+def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 4, size: int = 64, trees: int | None = None, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """The ``k`` most similar other vectors of every usable one: key, ``rank`` (from 1), ``near``, ``cosine``.
 
     Order is by cosine, ties by smaller id. Usable are vectors of exactly
@@ -115,7 +131,8 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: in
     Keys must be integers; other columns are ignored, whatever their names.
 
     Approximate: a true neighbour is missed if it lies beyond the blocks beside
-    the vector in every tree. At a border of two range partitions a sorted
+    the vector in every tree. ``trees`` is by default ``trees_for`` the distinct
+    vectors. At a border of two range partitions a sorted
     array is cut, which costs one tree's candidates for the rows beside it.
     """
     spark = df.sparkSession
@@ -126,11 +143,20 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: in
     firsts = plain.withColumn("r", F.row_number().over(Window.partitionBy("c1", "c2").orderBy("id"))).filter(F.col("r") <= k + 1)
     classes = firsts.groupBy("c1", "c2").agg(F.array_sort(F.collect_list("id")).alias("members"), F.max("v").alias("v"))
     classes = durable(classes.select("c1", "c2", F.col("members")[0].alias("rep"), "members", "v"))
-    strings = _hashes(size, trees, seed)
-    forest = classes.select("rep", "v", strings("v").alias("h")).select("rep", "v", F.posexplode("h").alias("tree", "h"))
-    forest = forest.repartitionByRange("tree", "h").sortWithinPartitions("tree", "h").select("tree", "rep", "v")
-    found = forest.mapInArrow(_blocks(k, size, block), _NEAR).select("id", F.explode("near").alias("n")).select("id", "n.near", "n.cosine")
-    best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "near"))), 1, k).alias("best"))
+    trees = trees or trees_for(classes.count(), block)
+    best = None
+    for first in range(0, trees, TREES):  # a few trees at a time, so the disk needed does not grow with their number
+        some = range(first, min(first + TREES, trees))
+        strings = _hashes(size, some, seed)
+        forest = classes.select("rep", "v", strings("v").alias("h")).select("rep", "v", F.posexplode("h").alias("tree", "h"))
+        forest = forest.repartitionByRange("tree", "h").sortWithinPartitions("tree", "h").select("tree", "rep", "v")
+        found = forest.mapInArrow(_blocks(k, size, block), _NEAR).select("id", F.explode("near").alias("n")).select("id", "n.near", "n.cosine")
+        found = found.select("id", F.struct((-F.col("cosine")).alias("far"), "near").alias("n"))
+        if best is not None:
+            found = found.unionByName(best.select("id", F.explode("best").alias("n")))
+        best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("n")), 1, k).alias("best"))
+        if trees > TREES:
+            best = durable(best)
     pairs = best.select("id", F.explode("best").alias("b")).select("id", F.col("b.near").alias("rep"), (-F.col("b.far")).alias("cosine"))
     others = pairs.join(classes.select("rep", "members"), "rep").groupBy("id").agg(F.flatten(F.collect_list(F.transform(F.slice("members", 1, k), lambda m: F.struct(F.col("cosine").alias("cosine"), m.alias("near"))))).alias("others"))
     full = classes.select("c1", "c2", "rep", "members").join(others, F.col("rep") == F.col("id"), "left").select("c1", "c2", "members", "others")

@@ -39,6 +39,24 @@ def test_recall(spark):
     assert np.mean([len(set(got[i]) & set(want[i])) / 4 for i in want]) >= 0.9
 
 
+def test_recall_does_not_fall_with_the_table(spark):
+    """Neighbours at cosine 0.5, a table of 500 windows: more trees are built."""
+    n, block = 8000, 8
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = x[n // 2 :] - (x[n // 2 :] * x[: n // 2]).sum(axis=1)[:, None] * x[: n // 2]
+    x[n // 2 :] = 0.5 * x[: n // 2] + 0.75**0.5 * z / np.linalg.norm(z, axis=1)[:, None]
+    x = x.astype(np.float32)
+    s = x[: n // 2] @ x.T
+    s[np.arange(n // 2), np.arange(n // 2)] = -2
+    inside = [i for i in range(n // 2) if (s[i] > s[i, i + n // 2]).sum() < 4]
+    got = run(spark, list(zip(range(n), x.tolist())), block=block)
+    assert len(inside) > 2000
+    assert np.mean([i + n // 2 in got[i] for i in inside]) >= 0.9
+    assert vs.trees_for(200) == vs.TREES and vs.trees_for(5_000_000) > vs.trees_for(500_000) > vs.trees_for(50_000) >= vs.TREES
+
+
 def test_small_is_exact(spark):
     x = data(200, 1)
     ids = np.arange(200)
