@@ -21,7 +21,7 @@ def clean(spark):
 def model(clean):
     import numpy as np
 
-    pairs, chars, docs = np.zeros(er.PAIRS, np.int64), np.zeros(er.CHARS, np.int64), 0
+    pairs, chars, docs = np.zeros(2 * er.PAIRS, np.int64), np.zeros(er.CHARS, np.int64), 0
     for b in er._tally(iter([pa.RecordBatch.from_arrays([pa.array(clean)], names=["t"])])):
         for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if i >= 0:
@@ -129,3 +129,39 @@ def test_every_character_that_fits_is_kept(model):
     table = {b: ch for ch, b in er._single_map("cp1252").items()}
     read = "".join(table[b] for b in "轴".encode("gb18030")) + table[lead] + "�" + "".join(table[b] for b in "承".encode("gb18030"))
     assert er.search(own, read, "cp1252", "gb18030")[1] == word
+
+
+def test_damage_of_a_third_of_the_corpus(clean):
+    """What many documents share does not count as usual: each is found, and sound texts stay."""
+    texts = [x for x in clean if not x.isascii() and "\ufffd" not in x]
+    bad = [damage(x, "cp1252", "utf-8") for x in texts[::3]] + [x.encode().decode("gb18030", "replace") for x in texts[1::9]]
+    assert len(bad) > 60
+    corpus = clean + bad
+    pairs, chars, docs = np.zeros(2 * er.PAIRS, np.int64), np.zeros(er.CHARS, np.int64), 0
+    for b in er._tally(iter([pa.RecordBatch.from_arrays([pa.array(corpus)], names=["t"])])):
+        ids, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+        pairs[ids[ids >= 0]] = n[ids >= 0]
+        one = (ids < 0) & (ids >= -er.CHARS)
+        chars[-1 - ids[one]] = n[one]
+        docs += int(n[ids == -1 - er.CHARS].sum())
+    own = er.Model(pairs, chars, docs)
+    found = er.repair_all(own, bad)
+    assert sum(f[0] for f in found) >= 0.95 * len(bad)  # the rest hold one or two garbled characters that are usual now
+    usual = er.repair_all(own, texts)
+    assert sum(f[0] for f in usual) <= 0.12 * len(texts)  # the fixture's own damaged texts
+
+
+def test_pruning_changes_nothing(model, sound):
+    """The search that drops states finds what the full search finds."""
+    pairs = [("cp1252", "utf-8"), ("gb18030", "utf-8"), ("cp1252", "gb18030"), ("utf-8", "gb18030")]
+    for read, written in pairs:
+        for x in [x for x in sound if len(x) < 80][:12]:
+            try:
+                bad = x.encode(written).decode(read, "replace")
+            except UnicodeEncodeError:
+                continue
+            for bound, r, w, rest in er.bounds(model, [bad])[0]:
+                if (r, w) == (read, written):
+                    gain, text = er.search(model, bad, r, w)
+                    assert gain <= bound + 1e-6
+                    assert er.search(model, bad, r, w, rest, gain)[0] == pytest.approx(gain)
