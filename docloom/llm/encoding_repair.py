@@ -686,6 +686,14 @@ def stretches(model: Model, texts: list[str]) -> list[list[tuple[int, int]]]:
 BEAM = 4
 
 
+#: Swapped bytes always make some character, so that a few (such as an ideographic space among digits) prove nothing.
+LEAST_SWAPPED = 4
+
+
+def _proves(text: str, got: tuple[float, str] | None, written: str) -> bool:
+    return got is not None and (written != "swapped" or sum(a != b for a, b in zip(text, got[1])) >= LEAST_SWAPPED)
+
+
 #: Times a text may have been decoded wrongly, one upon the other.
 ROUNDS = 3
 
@@ -702,13 +710,13 @@ def decode_once(model: Model, text: str, known: list[Bound]) -> tuple[float, str
         goal = max(sure, MARGIN_UTF8 if written == "utf-8" else MARGIN)
         if bound >= goal - 1e-6:
             quick = search(model, text, read, written, rest, goal, BEAM)
-            if quick and quick[0] >= goal:
+            if _proves(text, quick, written) and quick[0] >= goal:
                 sure = firsts[read, written] = quick[0]
     for bound, read, written, rest in sorted(known, key=lambda x: -firsts.get((x[1], x[2]), 0.0)):
         goal = max(best[0], sure, MARGIN_UTF8 if written == "utf-8" else MARGIN)
         if bound >= goal - 1e-6:
             got = search(model, text, read, written, rest, goal)
-            if got and got[0] >= goal - 1e-6 and got[0] > best[0]:
+            if _proves(text, got, written) and got[0] >= goal - 1e-6 and got[0] > best[0]:
                 best = (got[0], got[1], f"{written} read as {read}")
     return best
 
