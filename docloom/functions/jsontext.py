@@ -82,3 +82,30 @@ def _flat(text: str) -> object:
     if stack or len(root) != 1:
         raise Invalid("unfinished")
     return root[0]
+
+
+def dumps(value: object) -> str:
+    """The value as JSON, non-ASCII kept; nesting of any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    todo: list[tuple[str, object]] = [("value", value)]
+    while todo:
+        kind, x = todo.pop()
+        if kind == "text":
+            out.append(str(x))
+        elif isinstance(x, dict) and x:
+            parts: list[tuple[str, object]] = []
+            for i, (k, v) in enumerate(x.items()):
+                parts += [("text", (", " if i else "{") + json.dumps(k, ensure_ascii=False) + ": "), ("value", v)]
+            todo += [("text", "}"), *reversed(parts)]
+        elif isinstance(x, list) and x:
+            parts = []
+            for i, v in enumerate(x):
+                parts += [("text", ", " if i else "["), ("value", v)]
+            todo += [("text", "]"), *reversed(parts)]
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)

@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.runtime import small_batches
 
 BLOCK = "array<struct<pos:int,t:string,level:int,c:string>>"
 
@@ -117,7 +116,6 @@ def blocks_column(text: Column | str) -> Column:
 
 def blocks(df: DataFrame, key: str = "doc_id", text: str = "raw_markdown") -> DataFrame:
     """One row per block: key, pos, t, level, c. Documents without text give no rows."""
-    small_batches(df.sparkSession)
     return df.select(F.col(key), F.explode(blocks_column(F.col(text))).alias("b")).select(key, "b.pos", "b.t", "b.level", "b.c")
 
 

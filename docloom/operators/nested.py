@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.jsontext import Invalid, loads
-from docloom.runtime import latest, small_batches
+from docloom.runtime import latest
 
 #: Node types that carry only running text.
 TEXT_TYPES = ("Str", "Space", "SoftBreak", "LineBreak")
@@ -155,10 +155,8 @@ def flatten(df: DataFrame, key: str = "doc_id", content: str = "ast_json", order
     has its last value, an empty table gives an empty result. Other columns are
     ignored, whatever their names.
     """
-    small_batches(df.sparkSession)
     kept = [c for c in dict.fromkeys([key, content, order]) if c and c in df.columns]
-    slim = df.select(*[F.col(f"`{c}`") for c in kept]).filter(F.col(f"`{content}`").rlike(r"^\s*[\[{]"))
-    once = latest(slim, [key], order if order in kept else None)
+    once = latest(df.select(*[F.col(f"`{c}`") for c in kept]), [key], order if order in kept else None).filter(F.col(f"`{content}`").rlike(r"^\s*[\[{]"))
     wanted = frozenset(tags)
     if wanted - set(TABLES):
         raise ValueError(f"unknown tags: {sorted(wanted - set(TABLES))}")

@@ -111,7 +111,7 @@ def is_deck(text: Column) -> Column:
 
 
 def split_slides(df: DataFrame, key: str = "doc_id", text: str = "raw_markdown") -> DataFrame:
-    """One row per slide of every deck: key, slide (from 0), title (the comment's text), body, status, exception.
+    """One row per slide of every deck: key, slide (from 0), title (the whole comment), body, status, exception.
 
     Text before the first marker, a marker in another case and an empty slide
     do not stop the job: they come out with status ``ERROR``.
@@ -123,8 +123,7 @@ def split_slides(df: DataFrame, key: str = "doc_id", text: str = "raw_markdown")
     piece = F.trim(F.regexp_replace("s.piece", r"^\s+|\s+$", ""))
     each = each.select(key, "at", F.col("s.mark").alias("mark"), piece.alias("body")).filter((F.col("at") > 0) | (F.col("body") != ""))
     wrong = F.when(F.col("mark").isNull(), "text before the first slide").when(F.col("body") == "", "empty slide")
-    title = F.regexp_extract("mark", r"<!--\s*(.*?)\s*-->", 1)
-    return each.select(key, (F.col("at") - 1).alias("slide"), title.alias("title"), "body", F.when(wrong.isNull(), "REORGNIZED").otherwise("ERROR").alias("status"), wrong.alias("exception"))
+    return each.select(key, (F.col("at") - 1).alias("slide"), F.coalesce(F.trim("mark"), F.lit("")).alias("title"), "body", F.when(wrong.isNull(), "REORGNIZED").otherwise("ERROR").alias("status"), wrong.alias("exception"))
 
 
 def levels_of(blocks: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -8,6 +8,7 @@ summarisers go through the node fold of one document at a time.
 from __future__ import annotations
 
 import json
+import posixpath
 from collections.abc import Callable
 from typing import Any
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.jsontext import Invalid, loads
 from docloom.functions.text import filled, strip
-from docloom.operators.models import Prefix, Summarizer
+from docloom.operators.models import ImageSummarizer, Prefix, Summarizer, image_path, image_prompt
 
 #: Lengths from which a leaf and a final text are summarised.
 LEAF_MIN, FINAL_MIN = 100, 300
@@ -121,15 +122,27 @@ class Fold:
         return root | {"blocks": blocks, "title": title, "file_path": file_path, "summary": summary}
 
 
-def semantics_column(ast: Column | str, title: Column | str, path: Column | str, factory: Callable[[], Summarizer] = Prefix, min_len: int | None = FINAL_MIN) -> Column:
-    """(semantics_json, status, exception) of each AST; null ASTs are ``PENDING``, broken ones ``ERROR``."""
+def describe(model: ImageSummarizer, node: dict, file_path: str | None) -> str:
+    """What the model says of an image node's file, whose path is taken from the folder of the document."""
+    path = image_path(posixpath.dirname(file_path or ""), node)
+    return model.describe(image_prompt(path), path)
+
+
+def semantics_column(ast: Column | str, title: Column | str, path: Column | str, factory: Callable[[], Summarizer] = Prefix, min_len: int | None = FINAL_MIN, images: Callable[[], ImageSummarizer] | None = None) -> Column:
+    """(semantics_json, status, exception) of each AST; null ASTs are ``PENDING``, broken ones ``ERROR``.
+
+    With ``images``, each image node's summary is what the describer says of
+    its file, beside the document's; without, it is folded like other nodes.
+    """
 
     @F.pandas_udf("struct<semantics_json:string,status:string,exception:string>")
     def fold(asts: pd.Series, titles: pd.Series, paths: pd.Series) -> pd.DataFrame:
         one, out = Fold(factory(), min_len=min_len), []
+        describer = images() if images is not None else None
         for x, t, p in zip(asts, titles, paths):
             try:
                 root = loads(x) if x is not None else None
+                one.image = None if describer is None else lambda node: describe(describer, node, p)  # noqa: B023
                 done = None if root is None else json.dumps(one.document(root, t, p), ensure_ascii=False)
                 out.append((done, "COMPLETED" if done else "PENDING", None))
             except (Invalid, ValueError, AttributeError, RecursionError) as e:

@@ -16,40 +16,82 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docloom.functions.jsontext import Invalid, loads
+from docloom.functions.jsontext import Invalid, dumps, loads
 from docloom.operators.sections import SENTENCE_ENDS, SLIDE, TOC_TITLE
 
 Transform = Callable[[Any], Any]
 _SPACES = ("Space", "SoftBreak", "LineBreak")
 
 
-def map_tree(root: Any, transform: Transform, on_exit: Transform | None = None) -> Any:
-    """Apply ``transform`` before descending, and ``on_exit`` after, to the root, to objects and to list elements.
+def rebuild(root: Any, enter: Callable[[Any], Any], leave: Callable[[Any], None] | None = None, key_list: Callable[[list, str, dict], list | None] | None = None, element: Callable[[Any, str, list], Any] | None = None, packed: Callable[[list], list] | None = None) -> Any:
+    """Build a tree anew, of any depth, without recursion.
 
-    A list directly under a key is not passed on itself, only its elements are;
-    a list inside a list is. Scalars under a key are passed on too; scalar
-    elements are kept.
+    ``enter`` gives what stands for the root, an object, or a list inside a
+    list, before its parts are visited; ``leave`` sees the same when they are
+    done. A list directly under a key is not visited itself: ``key_list``
+    chooses its elements (or None: as they are, without what follows),
+    ``element`` places each finished one (with the key and what stands before
+    it) and ``packed`` gives the finished list. Scalars are kept.
     """
-    root = transform(root)
-    if isinstance(root, dict):
-        root = {k: [_element(x, transform, on_exit) for x in v] if isinstance(v, list) else map_tree(v, transform, on_exit) for k, v in root.items()}
-    elif isinstance(root, list):
-        root = [_element(x, transform, on_exit) for x in root]
-    else:
-        return root
-    if on_exit is not None:
-        on_exit(root)
-    return root
+    done: list = []
+    stack: list[list] = []  # [made, parts, key of a key list, visited, place in the parent, what it is made of]
+
+    def place(value: Any, at: Any) -> None:
+        if not stack:
+            done.append(value)
+        elif isinstance(stack[-1][0], dict):
+            stack[-1][0][at] = value
+        else:
+            made, _, key = stack[-1][:3]
+            made.append(element(value, key, made) if element and key is not None else value)
+
+    def begin(x: Any, at: Any, visited: bool) -> None:
+        x = enter(x) if visited else x
+        if isinstance(x, dict):
+            stack.append([{}, iter(list(x.items())), None, visited, at, x])
+        elif isinstance(x, list):
+            own = key_list(x, at, stack[-1][5]) if key_list and not visited else None if visited else x
+            stack.append([[], iter([(None, y) for y in (x if own is None else own)]), None if own is None else at, visited, at, x])
+        else:
+            if visited and leave and not stack:
+                leave(x)
+            place(x, at)
+
+    begin(root, None, True)
+    while stack:
+        made, parts, key, visited, at, _ = stack[-1]
+        step = next(parts, None)
+        if step is not None:
+            k, child = step
+            if isinstance(child, dict) or (isinstance(child, list) and isinstance(made, list)):
+                begin(child, k, True)
+            elif isinstance(child, list):
+                begin(child, k, False)
+            else:
+                place(child, k)
+            continue
+        stack.pop()
+        if key is not None and packed:
+            made = packed(made)
+        if visited and leave:
+            leave(made)
+        place(made, at)
+    return done[0]
 
 
-def _element(x: Any, transform: Transform, on_exit: Transform | None) -> Any:
-    return map_tree(x, transform, on_exit) if isinstance(x, (dict, list)) else x
+def map_tree(root: Any, transform: Transform, on_exit: Transform | None = None) -> Any:
+    """Apply ``transform`` before descending, and ``on_exit`` after, to the root, to objects and to lists inside lists.
+
+    A list directly under a key is not passed on itself, only its elements are.
+    Scalars are kept, under a key as in a list.
+    """
+    return rebuild(root, transform, on_exit)
 
 
 def walk(raw_json: str, action: Transform | None = None) -> str:
     """JSON in, every object and list visited, JSON out; ``action`` reaches every object."""
     act = action or (lambda x: x)
-    return json.dumps(map_tree(loads(raw_json), lambda x: act(x) if isinstance(x, dict) else x), ensure_ascii=False)
+    return dumps(map_tree(loads(raw_json), lambda x: act(x) if isinstance(x, dict) else x))
 
 
 def lines(raw_json: str) -> list[tuple[int, str, str | None]]:
@@ -152,57 +194,97 @@ def _without_contents(items: list) -> list:
     return out
 
 
-def pack_list(items: list, top: bool = False) -> tuple[list, list[int]]:
-    """(items nested into sections, levels in order) of one list of siblings."""
-    items = _without_contents(items) if top else items
-    out, levels, chain = [], [], []
+def _level(x: dict) -> int:
+    return int(x["c"][0]["c"][0])
+
+
+def _as_section(x: Any, top: bool, before: list) -> Any:
+    """A header as an empty section; so is the first heading item of the top list, if no section stands before it."""
+    if isinstance(x, dict):
+        if x.get("t") == "Header":
+            return section(0, header=x)
+        if top and not any(_is_section(y) for y in before) and (text := _heading_item(x)):
+            return section(1, text)
+    return x
+
+
+def _is_section(x: Any) -> bool:
+    return isinstance(x, dict) and x.get("t") == "Section"
+
+
+def nest(items: list) -> list:
+    """Siblings with each section holding what follows it up to the next section of its level or above.
+
+    Sections that are there already count like those made of headers: they keep
+    what they hold, and what follows is added.
+    """
+    out, chain = [], []
     for x in items:
-        made = None
-        if isinstance(x, dict) and x.get("t") == "Header":
-            made = (int(x["c"][0]), section(0, header=x))
-        elif top and not levels and (text := _heading_item(x)):
-            made = (1, section(1, text))
-        if made:
-            level, new = made
-            levels.append(level)
+        if _is_section(x):
+            level = _level(x)
+            x.setdefault("subnodes", [])
             while chain and chain[-1][0] >= level:
                 chain.pop()
-            (chain[-1][1]["subnodes"] if chain else out).append(new)
-            chain.append((level, new))
+            (chain[-1][1]["subnodes"] if chain else out).append(x)
+            chain.append((level, x))
         elif chain:
-            chain[-1][1]["c"][1]["c"].append(x)
+            content = chain[-1][1]["c"][1]
+            if content.get("t") != "Content":
+                raise Invalid("a section without content")
+            content["c"].append(x)
         else:
             out.append(x)
-    return out, levels
+    return out
+
+
+def pack_section(own: dict, items: list) -> tuple[dict, list]:
+    """(the section with the items that belong to it, the rest): up to the first section of its level or above."""
+    if not _is_section(own):
+        raise Invalid("no section")
+    stop = next((i for i, x in enumerate(items) if _is_section(x) and _level(x) <= _level(own)), len(items))
+    return nest([own, *items[:stop]])[0], items[stop:]
+
+
+def pack_list(items: list, top: bool = False) -> tuple[list, list[int]]:
+    """(items nested into sections, levels of the sections made of headers, in order) of one list of siblings."""
+    made, levels = [], []
+    for x in _without_contents(items) if top else items:
+        y = _as_section(x, top, made)
+        if y is not x:
+            levels.append(_level(y))
+        made.append(y)
+    return nest(made), levels
 
 
 def reorganise(root: Any, action: Transform | None = None) -> tuple[Any, list[int]]:
-    """(tree whose lists under object keys are packed into sections, header levels), children first."""
+    """(tree whose lists under object keys are packed into sections, header levels in the order of the visit).
+
+    ``action`` gives what stands for a node before its parts are visited. A
+    section that is there already keeps its header and content apart, so what
+    is packed stays as it is.
+    """
     levels: list[int] = []
-    act = action or (lambda x: x)
 
-    def go(x: Any) -> Any:
-        if isinstance(x, dict):
-            made = {}
-            for k, v in x.items():
-                v = go(v)
-                if isinstance(v, list):
-                    v, own = pack_list(v, top=k == "blocks")
-                    levels.extend(own)
-                made[k] = v
-            return act(made)
-        return [go(y) for y in x] if isinstance(x, list) else x
+    def element(x: Any, key: str, before: list) -> Any:
+        y = _as_section(x, key == "blocks", before)
+        if y is not x:
+            levels.append(_level(y))
+        return y
 
-    return go(root), levels
+    def chosen(v: list, key: str, owner: dict) -> list | None:
+        return None if key == "c" and _is_section(owner) else _without_contents(v) if key == "blocks" else v
+
+    out = rebuild(root, action or (lambda x: x), None, chosen, element, nest)
+    return out, levels
 
 
 def walk_sections(raw_json: str) -> str:
     """JSON in, lists packed into sections, JSON out."""
-    return json.dumps(reorganise(loads(raw_json))[0], ensure_ascii=False)
+    return dumps(reorganise(loads(raw_json))[0])
 
 
-def reorganise_slides(markdown: str, blocks: Callable[[str], list]) -> dict:
-    """The AST of a slide deck: one flat level-1 section per slide, titled by its comment."""
+def reorganise_slides(markdown: str, blocks: Callable[[str], list], base: dict | None = None) -> dict:
+    """The AST of a slide deck: one flat level-1 section per slide, titled by its whole comment; other keys as in ``base``."""
     pieces = re.split(rf"({SLIDE})", markdown)
     if pieces[0].strip():
         raise ValueError("text before the first slide")
@@ -210,10 +292,15 @@ def reorganise_slides(markdown: str, blocks: Callable[[str], list]) -> dict:
     for mark, body in zip(pieces[1::2], pieces[2::2]):
         if not body.strip():
             raise ValueError("empty slide")
-        one = section(1, re.sub(r"<!--\s*|\s*-->", "", mark))
+        mark = mark.strip()
+        one = section(1, header={"t": "Header", "c": [1, [mark, [], []], [{"t": "Str", "c": mark}]]})
         one["c"][1]["c"] = blocks(body.strip())
         out.append(one)
-    return {"blocks": out}
+    return (base or {}) | {"blocks": out}
+
+
+#: What a row of broken content raises; any other error is the operator's own and ends the job.
+BROKEN = (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError)
 
 
 def _column(function: Callable[[str], str | None], text: Column | str) -> Column:
@@ -224,7 +311,7 @@ def _column(function: Callable[[str], str | None], text: Column | str) -> Column
             for x in texts:
                 try:
                     out.append(None if x is None else function(x))
-                except Invalid:
+                except BROKEN:
                     out.append(None)
             yield pd.Series(out, dtype=object)
 
@@ -232,12 +319,12 @@ def _column(function: Callable[[str], str | None], text: Column | str) -> Column
 
 
 def map_column(text: Column | str, transform: Transform) -> Column:
-    """``map_tree`` over a column of JSON; null for null and invalid JSON."""
-    return _column(lambda x: json.dumps(map_tree(loads(x), transform), ensure_ascii=False), text)
+    """``map_tree`` over a column of JSON; null for null and invalid JSON, and for trees that are no documents."""
+    return _column(lambda x: dumps(map_tree(loads(x), transform)), text)
 
 
 def reorganise_column(text: Column | str) -> Column:
-    """``reorganise`` over a column of JSON; null for null and invalid JSON."""
+    """``reorganise`` over a column of JSON; null for null and invalid JSON, and for trees that are no documents."""
     return _column(walk_sections, text)
 
 

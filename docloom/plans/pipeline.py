@@ -19,6 +19,7 @@ from docloom.operators import embedding, markdown, summaries, tree
 from docloom.operators.models import HashedWords, Prefix
 from docloom.operators.sections import is_deck
 from docloom.runtime import durable
+from docloom.sources.vector_store import VectorStore
 
 #: Artifact kinds and the suffixes of their files; states of a document.
 SUFFIXES = {"ast": "_ast.json", "semantics": "_semantics.json", "embed": "_embed.json"}
@@ -92,37 +93,64 @@ def reorganised(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", apply("raw_markdown", is_deck(F.col("raw_markdown"))).alias("r")).select("doc_id", "r.*")
 
 
-def summarised(documents: DataFrame, asts: DataFrame, factory: Callable = Prefix) -> DataFrame:
-    """doc_id, json, status, exception: the summaries of each document's AST."""
+def summarised(documents: DataFrame, asts: DataFrame, factory: Callable = Prefix, slots: int | None = None, images: Callable | None = None) -> DataFrame:
+    """doc_id, json, status, exception: the summaries of each document's AST, by at most ``slots`` tasks at once."""
     rows = documents.select("doc_id", "title", "file_path").join(asts.select("doc_id", F.col("json").alias("ast")), "doc_id", "left")
-    return rows.select("doc_id", summaries.semantics_column("ast", "title", "file_path", factory).alias("r")).select("doc_id", F.col("r.semantics_json").alias("json"), "r.status", "r.exception")
+    return _slots(rows, slots).select("doc_id", summaries.semantics_column("ast", "title", "file_path", factory, images=images).alias("r")).select("doc_id", F.col("r.semantics_json").alias("json"), "r.status", "r.exception")
 
 
-def embedded(documents: DataFrame, semantics: DataFrame, factory: Callable = HashedWords) -> DataFrame:
-    """doc_id, json, status, exception, records: ids and vectors of each document's nodes."""
+def embedded(documents: DataFrame, semantics: DataFrame, factory: Callable = HashedWords, slots: int | None = None) -> DataFrame:
+    """doc_id, json, status, exception, records: ids and vectors of each document's nodes, by at most ``slots`` tasks at once."""
     rows = documents.select("doc_id", "file_path").join(semantics.select("doc_id", F.col("json").alias("s")), "doc_id", "left")
-    return rows.select("doc_id", embedding.embed_column("s", "file_path", factory).alias("r")).select("doc_id", F.col("r.embed_json").alias("json"), "r.status", "r.exception", "r.records")
+    return _slots(rows, slots).select("doc_id", embedding.embed_column("s", "file_path", factory).alias("r")).select("doc_id", F.col("r.embed_json").alias("json"), "r.status", "r.exception", "r.records")
 
 
-def run_pending(documents: DataFrame, path: str, slots: int | None = None, summarizer: Callable = Prefix, embedder: Callable = HashedWords) -> DataFrame:
-    """All three stages for all documents that lack them; the statuses of this run by stage.
+def _slots(df: DataFrame, slots: int | None) -> DataFrame:
+    """The rows in as many tasks as may call a model at once: a shuffle right before the call, so nothing spreads them again."""
+    return df.repartition(slots) if slots else df
 
-    ``slots`` bounds how many tasks call a model at once.
+
+def failures(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, stage, exception of the documents whose stage failed, as last recorded."""
+    schema = "doc_id string, exception string, stage string"
+    try:
+        return spark.read.schema(schema).parquet(f"{path}_failed")
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
+
+
+def run_pending(documents: DataFrame, path: str, slots: int | None = None, summarizer: Callable = Prefix, embedder: Callable = HashedWords, store: VectorStore | None = None, collection: str = "documents", again: bool = False, images: Callable | None = None) -> DataFrame:
+    """All three stages for all documents that lack them; stage, status and count of this run.
+
+    ``slots`` bounds how many tasks call a model at once. Vectors go to
+    ``collection`` of ``store``. A document with status ``CANCELLED`` is left
+    out and reported as such. One that failed is not tried again until
+    ``again``, which also computes anew what is stored. ``images`` makes the
+    describer of image nodes.
     """
     spark = documents.sparkSession
-    bounded = (lambda df: df.coalesce(slots)) if slots else (lambda df: df)
-    report = None
+    cancelled = F.coalesce(F.upper(F.trim("status")) == "CANCELLED", F.lit(False)) if "status" in documents.columns else F.lit(False)
+    active = documents.filter(~cancelled)
+    report = documents.filter(cancelled).groupBy().count().filter("count > 0").select(F.lit("CANCELLED").alias("status"), "count", F.lit("all").alias("stage"))
     for stage in ("ast", "semantics", "embed"):
-        stored = load(spark, path, stage).select("doc_id", F.lit(stage).alias("kind"))
-        todo = pending(documents, stored, stage)
+        todo = active
+        if not again:
+            stored = load(spark, path, stage).select("doc_id", F.lit(stage).alias("kind"))
+            todo = pending(active, stored, stage).join(failures(spark, path).filter(F.col("stage") == stage), "doc_id", "left_anti")
         if stage == "ast":
             done = reorganised(todo)
         elif stage == "semantics":
-            done = summarised(bounded(todo), load(spark, path, "ast"), summarizer)
+            done = summarised(todo, load(spark, path, "ast"), summarizer, slots, images)
         else:
-            done = embedded(bounded(todo), load(spark, path, "semantics"), embedder)
+            done = embedded(todo, load(spark, path, "semantics"), embedder, slots)
         done = durable(done)  # stored once, counted and appended: what is appended must not change what is counted
-        append(done, path, stage)
+        append(done, path, stage, again)
+        if stage == "embed" and store is not None:
+            store.add(done.select(F.explode("records").alias("r")).select("r.*", F.lit(collection).alias("collection")))
+        failed = done.filter("status = 'ERROR'").select("doc_id", "exception", F.lit(stage).alias("stage"))
+        failed.write.mode("overwrite" if again else "append").option("partitionOverwriteMode", "dynamic").partitionBy("stage").parquet(f"{path}_failed")
         counted = spark.createDataFrame(done.groupBy("status").count().collect(), "status string, count long").withColumn("stage", F.lit(stage))
-        report = counted if report is None else report.unionByName(counted)
+        report = report.unionByName(counted)
     return report

@@ -9,7 +9,7 @@ from docloom.functions import text
 from docloom.operators import embedding, models, retrieval, sections, summaries
 from docloom.plans import pipeline
 from docloom.plans.structure import _MARKS, _WS, _blocks, _collapse, _documents
-from docloom.runtime import latest, small_batches, table
+from docloom.runtime import latest, table
 from docloom.sources.files import parse_pairs
 
 
@@ -182,7 +182,6 @@ def word_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every embedded node of every AST after the default summary fold."""
-    small_batches(spark)
     d = latest(table(spark, sf_dir, "dom_documents").select("doc_id", "title", "file_path", "ast_json", "ingested_at"), ["doc_id"], "ingested_at")
     s = d.select("doc_id", "file_path", summaries.semantics_column("ast_json", "title", "file_path").alias("s"))
     e = s.select("doc_id", embedding.embed_column("s.semantics_json", "file_path").alias("e"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text
 from docloom.operators import markdown, nested, sections, tree
-from docloom.runtime import latest, small_batches, table
+from docloom.runtime import latest, table
 
 _B = "b AS (SELECT DISTINCT doc_id, pos, t, level, c FROM dom_blocks)"
 #: White space as the engine has it, for SQL dialects that know only ASCII's.
@@ -19,7 +19,6 @@ def _collapse(x: str) -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = table(spark, sf_dir, "dom_documents").select("doc_id", "title", "file_path", "root_path", "raw_markdown", "status", "exception", "ingested_at")
     return latest(docs, ["doc_id"], "ingested_at")
 
@@ -117,14 +116,12 @@ def node_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ast_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The collapsed text of every readable AST."""
     d = latest(table(spark, sf_dir, "dom_documents").select("doc_id", "ast_json", "ingested_at"), ["doc_id"], "ingested_at")
-    small_batches(spark)
     return d.select("doc_id", tree.text_column("ast_json").alias("text")).filter("text is not null")
 
 
 def ast_reorganised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every readable AST with its lists packed into sections."""
     d = latest(table(spark, sf_dir, "dom_documents").select("doc_id", "ast_json", "ingested_at"), ["doc_id"], "ingested_at")
-    small_batches(spark)
     return d.select("doc_id", tree.reorganise_column("ast_json").alias("ast_json")).filter("ast_json is not null")
 
 

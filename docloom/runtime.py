@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,17 +35,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset (tests, notebooks) a temporary folder is chosen.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a
+    session on one machine takes a temporary folder; on a cluster, which may
+    not share it, it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "docloom-checkpoints"))
+        if not shared:
+            if not (context.master or "").startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = os.path.join(tempfile.gettempdir(), "docloom-checkpoints")
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
+def portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes come to about ``most``: what an Arrow batch is worked off in."""
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= most:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the rows of one Arrow batch, for tables of long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -182,6 +182,35 @@ def test_pipeline_runs_once(spark, tmp_path):
     assert pipeline.load(spark, store, "embed").count() == 2
 
 
+class Eyes:
+    def describe(self, prompt, image):
+        return f"seen {image}"
+
+
+def test_pipeline_stores_vectors_and_remembers(spark, tmp_path):
+    rows = [("a", "T", "# T\n\ntext", "/d/a.md", None), ("i", "I", "# H\n\n![cap](img/x.png)", "/d/i.md", None), ("c", "C", "# C", "/d/c.md", "cancelled"), ("b", "B", "x\n<!-- Slide number: 1 -->\nA", "/d/b.md", "PENDING")]
+    docs = spark.createDataFrame(rows, "doc_id string, title string, raw_markdown string, file_path string, status string")
+    out, store = str(tmp_path / "out"), VectorStore(spark, str(tmp_path / "vectors"))
+    first = {(r.stage, r.status): r["count"] for r in pipeline.run_pending(docs, out, slots=2, store=store, collection="k", images=Eyes).collect()}
+    assert first[("all", "CANCELLED")] == 1 and first[("ast", "ERROR")] == 1 and first[("embed", "COMPLETED")] == 2
+    kept = {r.document for r in store.rows("k").collect()}
+    assert any("seen /d/img/x.png" in d for d in kept) and store.rows("k").filter("size(embedding) = 64").count() == len(kept)
+    assert {(r.doc_id, r.stage) for r in pipeline.failures(spark, out).collect()} == {("b", "ast")}
+    second = {(r.stage, r.status): r["count"] for r in pipeline.run_pending(docs, out, store=store, collection="k").collect()}
+    assert {k for k in second if k[1] != "PENDING"} == {("all", "CANCELLED")}  # what failed is not tried again
+    n = store.rows("k").count()
+    third = {(r.stage, r.status): r["count"] for r in pipeline.run_pending(docs, out, store=store, collection="k", again=True, images=Eyes).collect()}
+    assert third[("ast", "ERROR")] == 1 and third[("embed", "COMPLETED")] == 2
+    assert pipeline.load(spark, out, "embed").count() == 2 and store.rows("k").count() == n
+
+
+def test_slots_bound_the_tasks_that_call_a_model(spark):
+    docs = spark.range(40).selectExpr("cast(id as string) AS doc_id", "'t' AS title", "'p' AS file_path")
+    asts = docs.selectExpr("doc_id", "'{\"blocks\":[]}' AS json")
+    for slots in (1, 3):
+        assert pipeline.summarised(docs, asts, slots=slots).rdd.getNumPartitions() == slots
+
+
 def test_streaming(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text("# A\n\nb", encoding="utf-8")

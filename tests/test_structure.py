@@ -70,7 +70,7 @@ def test_heading_list(spark, item, taken):
 def test_slides(spark):
     rows = [("ok", "<!-- Slide number: 1 -->\r\nA\r\n<!-- Slide number: 2 -->\r\nB"), ("lead", "x\n<!-- Slide number: 1 -->\nA"), ("empty", "<!-- Slide number: 1 -->\n\n<!-- Slide number: 2 -->\nB"), ("no", "text"), ("null", None)]
     got = {(r.doc_id, r.slide): (r.title, r.status) for r in sections.split_slides(spark.createDataFrame(rows, "doc_id string, raw_markdown string")).collect()}
-    assert got[("ok", 0)] == ("Slide number: 1", "REORGNIZED") and got[("ok", 1)][1] == "REORGNIZED"
+    assert got[("ok", 0)] == ("<!-- Slide number: 1 -->", "REORGNIZED") and got[("ok", 1)][1] == "REORGNIZED"
     assert got[("lead", -1)][1] == "ERROR" and got[("empty", 0)][1] == "ERROR"
     assert {d for d, _ in got} == {"ok", "lead", "empty"}
 
@@ -99,7 +99,7 @@ def test_reorganise_scopes():
 
 def test_slide_tree():
     deck = tree.reorganise_slides("<!-- Slide number: 1 -->\n# A\n<!-- Slide number: 2 -->\nB", lambda b: [markdown.node(t, lv, c) for _, t, lv, c in markdown.scan(b)])
-    assert [s["c"][0]["c"][2][0]["c"] for s in deck["blocks"]] == ["Slide number: 1", "Slide number: 2"]
+    assert [s["c"][0]["c"][2][0]["c"] for s in deck["blocks"]] == ["<!-- Slide number: 1 -->", "<!-- Slide number: 2 -->"]
     assert deck["blocks"][0]["c"][1]["c"][0]["t"] == "Header"
     for bad in ("x\n<!-- Slide number: 1 -->\nA", "<!-- Slide number: 1 -->\n"):
         with pytest.raises(ValueError):
@@ -114,6 +114,46 @@ def test_map_tree():
     assert json.loads(tree.walk('[{"a":1},{"b":[{}]}]', lambda x: x | {"m": 1})) == [{"a": 1, "m": 1}, {"b": [{"m": 1}], "m": 1}]
 
 
+def _s(level, name="s"):
+    return {"t": "Section", "c": [_h(level, name), {"t": "Content", "c": []}]}
+
+
+def test_sections_that_are_there_already_are_packed():
+    own, rest = tree.pack_section(_s(1, "top"), [_p("x"), _s(2), _p("y"), _s(1, "next"), _p("z")])
+    assert [b["c"][0]["c"] for b in own["c"][1]["c"]] == ["x"] and len(own["subnodes"]) == 1
+    assert own["subnodes"][0]["c"][1]["c"][0]["c"][0]["c"] == "y"
+    assert rest[0]["c"][0]["c"][2][0]["c"] == "next" and len(rest) == 2
+    with pytest.raises(ValueError):
+        tree.pack_section(_p(), [])
+    out, levels = tree.reorganise({"blocks": [_p(), _s(1), _h(2), _p("in"), _s(1)]})
+    assert levels == [2] and [b["t"] for b in out["blocks"]] == ["Para", "Section", "Section"]
+    assert out["blocks"][1]["subnodes"][0]["c"][1]["c"][0]["c"][0]["c"] == "in"
+
+
+def test_scalars_under_keys_are_kept():
+    got = tree.map_tree({"n": 1, "m": {"o": None}, "l": [3, ["x"]]}, lambda x: "never" if not isinstance(x, (dict, list)) else x)
+    assert got == {"n": 1, "m": {"o": None}, "l": [3, ["x"]]}
+
+
+def test_action_comes_before_the_parts_and_levels_in_order():
+    root = {"blocks": [_h(1), {"t": "Quote", "c": [_h(2)]}, _h(3)]}
+    seen = []
+    _, levels = tree.reorganise(root, lambda x: seen.append(x.get("t") if isinstance(x, dict) else "list") or x)
+    assert levels == [1, 2, 3] and seen[0] is None and seen.index("Quote") < len(seen) - 1
+    replaced, _ = tree.reorganise({"a": {"drop": [1]}}, lambda x: {"kept": []} if isinstance(x, dict) and "drop" in x else x)
+    assert replaced == {"a": {"kept": []}}
+
+
+def test_any_depth_and_broken_headers(spark):
+    deep = '{"blocks":[' + '{"t":"Quote","c":[' * 4000 + '{"t":"Null"}' + "]}" * 4000 + "]}"
+    broken = '{"blocks":[{"t":"Header","c":null},{"t":"Header"},{"t":"Section"}]}'
+    df = spark.createDataFrame([(1, deep), (2, broken), (3, "{"), (4, None), (5, '{"blocks":[{"t":"Para","c":[]}]}')], "k int, x string")
+    got = {r.k: (r.a, r.b) for r in df.select("k", tree.reorganise_column("x").alias("a"), tree.map_column("x", lambda x: x).alias("b")).collect()}
+    assert got[1][0].count("Quote") == 4000 and got[1][1].replace(" ", "") == deep
+    assert got[2][0] is None and got[3] == (None, None) and got[4] == (None, None)
+    assert json.loads(got[5][0]) == {"blocks": [{"t": "Para", "c": []}]}
+
+
 def test_lines_text_and_zip():
     assert tree.lines('{\n "a": " x ",\n "b": [1,\n  true]\n}') == [(2, "a", "x"), (3, "b", None), (3, "b/0", "1"), (4, "b/1", "true")]
     assert tree.block_text({"t": "Para", "c": [{"t": "Str", "c": "a"}, {"t": "SoftBreak"}, {"t": "Emph", "c": [{"t": "Str", "c": "b"}]}]}) == "a b"
