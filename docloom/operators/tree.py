@@ -336,3 +336,22 @@ def text_column(text: Column | str) -> Column:
         return block_text(root.get("blocks") if isinstance(root, dict) and "blocks" in root else root)
 
     return _column(words, text)
+
+
+def zip_column(a: Column | str, b: Column | str) -> Column:
+    """(pairs, alike): the nodes at equal places of two trees, and those of one kind; null where either is no JSON."""
+
+    @F.pandas_udf("struct<pairs:long,alike:long>")
+    def both(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for xs, ys in batches:
+            out: list[tuple[int | None, int | None]] = []
+            for x, y in zip(xs, ys):
+                try:
+                    pairs = list(zip_trees(loads(x), loads(y)))
+                    out.append((len(pairs), sum(type(p) is type(q) for p, q in pairs)))
+                except BROKEN:
+                    out.append((None, None))
+            yield pd.DataFrame(out, columns=["pairs", "alike"], dtype="Int64")
+
+    z = both(a, b)
+    return F.when(z["pairs"].isNotNull(), z)

@@ -37,12 +37,12 @@ def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = sections.pack(_blocks(spark, sf_dir))
     top = packed.filter("level is not null and parent is null").select("doc_id", F.col("pos").alias("section"))
     s = summaries.section_summaries(packed).join(top, ["doc_id", "section"], "left_semi")
-    return summaries.document_summaries(_documents(spark, sf_dir), s)
+    return summaries.document_summaries(_documents(spark, sf_dir, "title"), s)
 
 
 def metadata_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title (or folder) and path of every document."""
-    return _documents(spark, sf_dir).select("doc_id", text.filled("title", "root_path").alias("title"), "file_path")
+    return _documents(spark, sf_dir, "title", "root_path", "file_path").select("doc_id", text.filled("title", "root_path").alias("title"), "file_path")
 
 
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,20 +150,20 @@ def ready_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def artifact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artifacts after one is added for every document that lacks its AST."""
     have = _artifacts(spark, sf_dir).select("doc_id", "kind", "artifact_path")
-    missing = pipeline.pending(_documents(spark, sf_dir), have, "ast").select("doc_id", F.lit("ast").alias("kind"), pipeline.artifact_path("file_path", "ast").alias("artifact_path"))
+    missing = pipeline.pending(_documents(spark, sf_dir, "file_path"), have, "ast").select("doc_id", F.lit("ast").alias("kind"), pipeline.artifact_path("file_path", "ast").alias("artifact_path"))
     return have.unionByName(missing)
 
 
 def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by recorded status and the one their artifacts imply."""
-    docs = _documents(spark, sf_dir)
+    docs = _documents(spark, sf_dir, "status", "exception")
     implied = pipeline.status_of(docs, _artifacts(spark, sf_dir))
     return docs.select("doc_id", F.upper("status").alias("status")).join(implied, "doc_id").groupBy("status", "implied").agg(F.count("*").alias("n"))
 
 
 def artifact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the artifacts of every document lie."""
-    d = _documents(spark, sf_dir)
+    d = _documents(spark, sf_dir, "file_path")
     return d.select("doc_id", *[pipeline.artifact_path("file_path", k).alias(f"{k}_path") for k in pipeline.SUFFIXES])
 
 

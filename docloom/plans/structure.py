@@ -18,9 +18,9 @@ def _collapse(x: str) -> str:
     return f"trim(regexp_replace({x}, '{_WS}+', ' ', 'g'))"
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "dom_documents").select("doc_id", "title", "file_path", "root_path", "raw_markdown", "status", "exception", "ingested_at")
-    return latest(docs, ["doc_id"], "ingested_at")
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents as delivered last, with only the columns that are asked for, so that only these are read."""
+    return latest(table(spark, sf_dir, "dom_documents").select("doc_id", *columns, "ingested_at"), ["doc_id"], "ingested_at")
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocks_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown to top-level blocks."""
-    return markdown.blocks(_documents(spark, sf_dir).select("doc_id", "raw_markdown"))
+    return markdown.blocks(_documents(spark, sf_dir, "raw_markdown").select("doc_id", "raw_markdown"))
 
 
 def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def preamble_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slide_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slides of each deck."""
-    s = sections.split_slides(_documents(spark, sf_dir))
+    s = sections.split_slides(_documents(spark, sf_dir, "raw_markdown"))
     return s.select("doc_id", F.col("slide").cast("long").alias("slide"), "title", F.length("body").cast("long").alias("n_chars"), "status")
 
 
@@ -125,23 +125,29 @@ def ast_reorganised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", tree.reorganise_column("ast_json").alias("ast_json")).filter("ast_json is not null")
 
 
+def _measured(x: object) -> object:
+    """An object with the number of its keys beside them; other nodes as they are."""
+    return x | {"n": len(x)} if isinstance(x, dict) else x
+
+
 def map_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of each text, each mapped to its length."""
-    d = table(spark, sf_dir, "documents")
-    lines = F.transform(F.split(text.newlines("text"), "\n"), lambda x: F.length(x).cast("string"))
-    return d.filter("text is not null").select("doc_id", F.array_join(lines, ",").alias("lengths"))
+    """Every readable AST mapped so that each object counts its keys; the sum over the document."""
+    d = latest(table(spark, sf_dir, "dom_documents").select("doc_id", "ast_json", "ingested_at"), ["doc_id"], "ingested_at")
+    mapped = d.select("doc_id", tree.map_column("ast_json", _measured).alias("x")).filter("x is not null")
+    counts = F.regexp_extract_all("x", F.lit(r'"n": (\d+)\}'), F.lit(1))
+    return mapped.select("doc_id", F.size(counts).cast("long").alias("objects"), F.aggregate(counts, F.lit(0).cast("long"), lambda acc, n: acc + n.cast("long")).alias("keys"))
 
 
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each title and text paired by position."""
-    d = table(spark, sf_dir, "documents").filter("text is not null and title is not null")
-    pairs = F.arrays_zip(F.split("title", " ").alias("a"), F.split(text.newlines("text"), "\n").alias("b"))
-    return d.select("doc_id", F.posexplode(pairs).alias("at", "p")).select("doc_id", F.col("at").cast("long").alias("at"), F.col("p.a").alias("a"), F.length("p.b").cast("long").alias("n_b"))
+    """Each readable AST beside itself with the keys counted: pairs of nodes at equal places, and those of equal type."""
+    d = latest(table(spark, sf_dir, "dom_documents").select("doc_id", "ast_json", "ingested_at"), ["doc_id"], "ingested_at")
+    both = d.select("doc_id", tree.zip_column("ast_json", tree.map_column("ast_json", _measured)).alias("z")).filter("z is not null")
+    return both.select("doc_id", F.col("z.pairs").alias("pairs"), F.col("z.alike").alias("alike"))
 
 
 def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image links of each document, resolved against its folder."""
-    d = _documents(spark, sf_dir).filter("raw_markdown is not null")
+    d = _documents(spark, sf_dir, "root_path", "raw_markdown").filter("raw_markdown is not null")
     links = F.regexp_extract_all("raw_markdown", F.lit(r"!\[[^\]]*\]\(([^)\s]+)"), F.lit(1))
     each = d.select("doc_id", "root_path", F.posexplode(links).alias("at", "link")).withColumn("at", F.col("at").cast("long"))
     valid = F.col("link").rlike(r"^[^\s]+\.(jpg|jpeg|png|gif|bmp|webp)")
@@ -149,16 +155,25 @@ def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", markdown.render_column(F.col("raw_markdown"), "html").alias("html"))
+    return _documents(spark, sf_dir, "raw_markdown").select("doc_id", markdown.render_column(F.col("raw_markdown"), "html").alias("html"))
 
 
 def render_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", markdown.render_column(F.col("raw_markdown"), "latex").alias("latex"))
+    return _documents(spark, sf_dir, "raw_markdown").select("doc_id", markdown.render_column(F.col("raw_markdown"), "latex").alias("latex"))
 
 
 def md_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", markdown.ast_column(F.col("raw_markdown")).alias("ast_json"))
+    return _documents(spark, sf_dir, "raw_markdown").select("doc_id", markdown.ast_column(F.col("raw_markdown")).alias("ast_json"))
+
 
+_AST = "d AS (SELECT doc_id, any_value(ast_json) AS a FROM dom_documents WHERE json_valid(ast_json) GROUP BY doc_id)"
+_NODES = f"""{_AST},
+j AS (SELECT d.doc_id, x.id, x.parent, x.key, CASE WHEN x.type = 'OBJECT' AND json_type(x.value, '$.t') = 'VARCHAR' THEN x.value ->> '$.t' END AS t
+      FROM d, json_tree(d.a) x WHERE x.type IN ('OBJECT', 'ARRAY')),
+r AS (SELECT doc_id, id, '' AS node_path, '' AS parent_path, t FROM j WHERE parent IS NULL
+      UNION ALL
+      SELECT j.doc_id, j.id, CASE WHEN r.node_path = '' THEN j.key ELSE r.node_path || '/' || j.key END, CASE WHEN r.t IS NULL THEN r.parent_path ELSE r.node_path END, j.t
+      FROM r JOIN j ON j.doc_id = r.doc_id AND j.parent = r.id)"""
 
 QUERIES = {f.__name__: f for f in (blocks_scan, block_kinds, whitespace_collapse, heading_levels, toc_drop, ordered_heading, section_pack, section_tree, section_content, section_children, preamble_blocks, slide_split, json_walk, json_tree_depth, node_parents, ast_text, ast_reorganised, map_transform, positional_zip, image_links, render_html, render_latex, md_parse)}
 
@@ -208,15 +223,20 @@ k AS (SELECT doc_id, regexp_replace(x, '\\r\\n?', chr(10), 'g') AS x FROM d WHER
 s AS (SELECT doc_id, string_split_regex(x, '<!--\\s*Slide number:\\s*\\d+\\s*-->') AS p, [NULL] || regexp_extract_all(x, '<!--\\s*Slide number:\\s*\\d+\\s*-->') AS m FROM k),
 e AS (SELECT doc_id, unnest(generate_series(1, len(p))) AS i, p, m FROM s),
 f AS (SELECT doc_id, i, m[i] AS mark, trim(regexp_replace(p[i], '^\\s+|\\s+$', '', 'g')) AS body FROM e)
-SELECT doc_id, i - 2 AS slide, regexp_extract(mark, '<!--\\s*(.*?)\\s*-->', 1) AS title, length(body) AS n_chars,
+SELECT doc_id, i - 2 AS slide, coalesce(trim(mark), '') AS title, length(body) AS n_chars,
   CASE WHEN mark IS NULL OR body = '' THEN 'ERROR' ELSE 'REORGNIZED' END AS status
 FROM f WHERE i > 1 OR body <> ''""",
     "json_walk": "SELECT e.event_id, j.key, j.value ->> '$' AS value FROM events e, json_each(e.props) j",
-    "map_transform": "SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: CAST(length(x) AS VARCHAR)), ',') AS lengths FROM documents WHERE text IS NOT NULL",
-    "positional_zip": """
-WITH s AS (SELECT doc_id, string_split(title, ' ') AS a, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS b FROM documents WHERE text IS NOT NULL AND title IS NOT NULL),
-e AS (SELECT doc_id, a, b, unnest(generate_series(1, greatest(len(a), len(b)))) AS i FROM s)
-SELECT doc_id, i - 1 AS at, a[i] AS a, length(b[i]) AS n_b FROM e""",
+    "map_transform": f"""
+WITH {_AST}
+SELECT doc_id, count(*) FILTER (x.type = 'OBJECT') AS objects, CAST(sum(CASE WHEN x.type = 'OBJECT' THEN len(json_keys(x.value)) ELSE 0 END) AS BIGINT) AS keys
+FROM d, json_tree(d.a) x GROUP BY doc_id""",
+    "positional_zip": f"WITH {_AST} SELECT doc_id, count(*) AS pairs, count(*) AS alike FROM d, json_tree(d.a) x GROUP BY doc_id",
+    "json_tree_depth": f"WITH RECURSIVE {_NODES} SELECT doc_id, count(*) AS n_nodes, CAST(max(len(string_split(node_path, '/'))) AS BIGINT) AS depth FROM r WHERE t IS NOT NULL GROUP BY doc_id",
+    "node_parents": f"""
+WITH RECURSIVE {_NODES},
+n AS (SELECT * FROM r WHERE t IS NOT NULL AND t NOT IN ('Str', 'Space', 'SoftBreak', 'LineBreak'))
+SELECT up.t AS parent_t, n.t, count(*) AS n FROM n LEFT JOIN n up ON up.doc_id = n.doc_id AND up.node_path = n.parent_path GROUP BY ALL""",
     "image_links": f"""
 WITH {_DOCS},
 l AS (SELECT doc_id, root_path, regexp_extract_all(x, '!\\[[^\\]]*\\]\\(([^)\\s]+)', 1) AS a FROM d WHERE x IS NOT NULL),
