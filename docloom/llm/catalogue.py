@@ -99,6 +99,19 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT doc_a, doc_b FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
 WHERE c >= 0.6 * (x.n + y.n - c)""",
+    "p3_groups": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_replace(any_value(raw_markdown), '[ \\t\\r\\n　]', '', 'g') AS x
+  FROM dom_documents WHERE raw_markdown IS NOT NULL GROUP BY doc_id HAVING length(regexp_replace(any_value(raw_markdown), '[ \\t\\r\\n　]', '', 'g')) >= 16),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS class_id, x FROM d),
+s AS (SELECT DISTINCT doc_id, substr(x, i, 16) AS g FROM (SELECT doc_id, x, unnest(range(1, length(x) - 14)) AS i FROM c WHERE doc_id = class_id)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.6 * (x.n + y.n - c)),
+r AS (SELECT DISTINCT class_id AS a, class_id AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+g AS (SELECT a, min(b) AS group_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT doc_id, group_id, class_id, coalesce(k.n, 0) AS n_links FROM c JOIN g ON g.a = class_id LEFT JOIN k ON k.a = class_id""",
     "p4_found": """
 WITH v AS (
   SELECT vec_id, CAST(any_value(embedding) AS DOUBLE[]) AS e FROM vectors

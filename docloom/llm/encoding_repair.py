@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.runtime import portions
+
 #: Buckets of each of the two pair tables; the size of the model, whatever the corpus.
 PAIRS = 1 << 21
 CHARS = 0x110000
@@ -73,19 +75,6 @@ def _buckets(codes: np.ndarray) -> np.ndarray:
 # -- corpus counts ---------------------------------------------------------------------------------
 
 
-def _together(texts: list[str], size: int) -> Iterator[list[int]]:
-    """Places of texts in portions of about so many characters."""
-    some, n = [], 0
-    for i, x in enumerate(texts):
-        some.append(i)
-        n += len(x)
-        if n >= size:
-            yield some
-            some, n = [], 0
-    if some:
-        yield some
-
-
 #: Characters that are looked at together.
 TOGETHER = 200_000
 
@@ -93,8 +82,8 @@ TOGETHER = 200_000
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
     for batch in batches:
         texts = [x for x in batch.column(0).to_pylist() if x]
-        for some in _together(texts, 5 * TOGETHER):
-            yield [texts[i] for i in some]
+        for i, j in portions([len(x) for x in texts], 5 * TOGETHER):
+            yield texts[i:j]
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -728,8 +717,8 @@ def repair_all(model: Model, texts: list[str]) -> list[tuple[bool, str, list[str
     todo = list(range(len(parts)))
     for _ in range(ROUNDS):
         changed = []
-        for some in _together([parts[i][0] for i in todo], TOGETHER):
-            some = [todo[i] for i in some]
+        for lo, hi in portions([len(parts[i][0]) for i in todo], TOGETHER):
+            some = todo[lo:hi]
             for i, known in zip(some, bounds(model, [parts[i][0] for i in some])):
                 gain, better, channel = decode_once(model, parts[i][0], known) if known else (0.0, "", None)
                 if channel:
@@ -794,7 +783,7 @@ def restore(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         model = _worker(shared)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            results = (zip(some, repair_all(model, [texts[i] for i in some])) for some in _together(texts, 5 * TOGETHER))
+            results = (zip(range(lo, hi), repair_all(model, texts[lo:hi])) for lo, hi in portions([len(x) for x in texts], 5 * TOGETHER))
             found = [(i, *result) for portion in results for i, result in portion if result[0]]
             at = [f[0] for f in found]
             columns = [pa.array([texts[i] for i in at], pa.string()), pa.array([f[2] for f in found], pa.string()), pa.array([f[3] for f in found], pa.list_(pa.string())), pa.array([f[4] for f in found], pa.float64())]

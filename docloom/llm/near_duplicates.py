@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.runtime import durable, latest, small_batches
+from docloom.runtime import durable, latest
 
 WIDTH = 16
 TREES = 24
@@ -95,7 +95,7 @@ def _signatures(width: int, trees: int) -> object:
         for texts in batches:
             n, low, keys = [], [], []
             for text in texts:
-                s = shingles(text, width)
+                s = shingles(text or "", width)
                 n.append(len(s))
                 if not len(s):
                     low.append(None)
@@ -210,18 +210,17 @@ def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "raw_markdown"
     counts once, as delivered last; null keys are left out. Equal texts form one
     class however many they are. Other columns are ignored, whatever their names.
     """
-    spark = df.sparkSession
-    small_batches(spark)
     order = order if order in df.columns else None
     rows = df.select(F.col(f"`{key}`").alias("id"), normalised(F.col(f"`{text}`")).alias("text"), *([F.col(f"`{order}`").alias("at")] if order else []))
-    rows = rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= width))
-    signed = rows.select("id", *(["at"] if order else []), F.sha2("text", 256).alias("digest"), _signatures(width, trees)("text").alias("s"))
-    signed = durable(signed.select("id", *(["at"] if order else []), "digest", "s.n", "s.bytes", "s.keys"))
-    slim = latest(signed.select("id", *(["at"] if order else []), "digest"), ["id"], "at" if order else None)
+    rows = rows.filter(F.col("id").isNotNull())
+    at = ["at"] if order else []
+    signed = rows.select("id", *at, F.sha2("text", 256).alias("digest"), _signatures(width, trees)("text").alias("s"))
+    signed = durable(signed.select("id", *at, "digest", "s.n", "s.bytes", "s.keys"))
+    slim = latest(signed.select("id", *at, "digest", "n"), ["id"], "at" if order else None).filter("n > 0").select("id", "digest")
     reps = slim.groupBy("digest").agg(F.min("id").alias("rep"))
     members = durable(slim.join(reps, "digest").select("id", "rep", "digest"))
     own = members.filter("id = rep").select("digest", "rep")
-    sketches = signed.groupBy("digest").agg(F.first("n").alias("n"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys")).join(own, "digest")
+    sketches = signed.filter("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys")).join(own, "digest")
     sketches = durable(sketches.select("rep", "n", "bytes", "keys"))
     side = sketches.select("rep", "n", "bytes")
     pairs = candidates(sketches.select("rep", F.explode("keys").alias("region")), side, threshold)
@@ -229,8 +228,9 @@ def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "raw_markdown"
     close = close.filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     close = durable(close.filter(_estimated()("ba", "bb") >= threshold - SLACK).select("a", "b"))
     involved = close.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    digests = own.join(involved, "rep")
-    texts = rows.select("text", F.sha2("text", 256).alias("digest")).join(digests, "digest").groupBy("rep").agg(F.first("text").alias("text"))
+    # one text for each class, that of its representative: copies do not travel
+    wanted = own.join(involved, "rep").select(F.col("rep").alias("id"), "digest")
+    texts = rows.select("id", "text", F.sha2("text", 256).alias("digest")).join(wanted, ["id", "digest"]).groupBy(F.col("id").alias("rep")).agg(F.first("text").alias("text"))
     texts = durable(texts)
     both = close.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     links = both.select("a", "b", _similarity(width)("ta", "tb").alias("similarity")).filter(F.col("similarity") >= threshold)

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.runtime import durable, latest
+from docloom.runtime import durable, latest, portions
 
 #: Rules in order of precedence.
 DEFECTS = ("empty", "copied", "refusal", "other_language", "truncated")
@@ -251,6 +251,17 @@ def _unspaced() -> np.ndarray:
 _RUN = regex.compile(r"(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}'’])+")
 
 
+#: Characters that are counted at once.
+TOGETHER = 2_000_000
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+    for batch in batches:
+        texts = [x for x in batch.column(0).to_pylist() if x]
+        for i, j in portions([len(x) for x in texts], TOGETHER):
+            yield texts[i:j]
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Units of the texts of a batch that something follows, how many of them end a clause or do so soon.
 
@@ -259,10 +270,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     marks = np.zeros(0x110000, bool)
     marks[[ord(c) for c in _ENDS]] = True
-    for batch in batches:
-        texts = [x for x in batch.column(0).to_pylist() if x]
-        if not texts:
-            continue
+    for texts in _texts(batches):
         whole = "\0" + "\0".join(texts) + "\0" * (SOON + 5)
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         own, mark = _unspaced()[codes], marks[codes]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.runtime import latest, small_batches
+from docloom.runtime import latest, portions
 
 #: Kinds of boundary by rank, the most natural first.
 KINDS = ("paragraph", "line", "sentence", "clause", "word", "forced", "end")
@@ -121,11 +121,16 @@ def cuts(texts: list[str], limits: np.ndarray, overlaps: np.ndarray) -> list[np.
     return out
 
 
+#: Characters whose successor tables are held at once.
+TOGETHER = 2_000_000
+
+
 @F.pandas_udf(PIECE)
 def _pieces(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for text, limit, overlap, whole in batches:
         texts = text.tolist()
-        found = cuts(texts, limit.to_numpy(np.int64), overlap.to_numpy(np.int64)) if texts else []
+        sizes, shared = limit.to_numpy(np.int64), overlap.to_numpy(np.int64)
+        found = [x for i, j in portions([len(s) for s in texts], TOGETHER) for x in cuts(texts[i:j], sizes[i:j], shared[i:j])]
         yield pd.Series([[(k, int(a), int(b), KINDS[r], s[a:b] if w else None) for k, (a, b, r) in enumerate(rows)] for rows, s, w in zip(found, texts, whole)], dtype=object)
 
 
@@ -143,12 +148,14 @@ def split_oversized(df: DataFrame, key: list[str], text: str = "text", limit: st
     (same key) counts once, as delivered last by ``order``. Other columns are
     dropped, whatever their names.
     """
-    small_batches(df.sparkSession)
-    size = F.length(text)
     kept = list(dict.fromkeys([*key, *([order] if order else [])]))
-    over = df.filter(F.col(limit).isNotNull() & (F.col(limit) >= 1) & (size > F.col(limit)))
-    over = over.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text"), F.col(limit).cast("long").alias("__limit"), F.least(F.greatest(F.coalesce(F.col(overlap), F.lit(0)), F.lit(0)), F.col(limit) - 1).cast("long").alias("__overlap"))
-    over = latest(over, key, order)
+    slim = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text"), F.col(limit).cast("long").alias("__limit"), F.coalesce(F.col(overlap), F.lit(0)).cast("long").alias("__overlap"))
+    # an item that was short at one delivery may be long at the next: whichever came last counts, but texts that
+    # are short at every delivery need not travel
+    long_ = F.coalesce(F.length("__text") > F.col("__limit"), F.lit(False))
+    slim = slim.withColumn("__over", long_).withColumn("__hash", F.xxhash64("__text", "__limit", "__overlap")).withColumn("__text", F.when(long_, F.col("__text")))
+    over = latest(slim, key, order).filter(F.col("__over") & (F.col("__limit") >= 1))
+    over = over.withColumn("__overlap", F.least(F.greatest("__overlap", F.lit(0)), F.col("__limit") - 1))
     cut = over.select(*key, F.explode(_pieces("__text", "__limit", "__overlap", F.lit(with_text))).alias("p"))
     return cut.select(*key, "p.piece_no", "p.start", "p.end", "p.cut", "p.piece")
 

@@ -20,8 +20,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.runtime import small_batches
-
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: Fixed value: the published pattern that splits text before the merges.
@@ -110,7 +108,7 @@ def ids_column(text: Column | str, path: str = VOCABULARY) -> Column:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = encoder(path)
         for texts in batches:
-            yield pd.Series([one.encode(x) for x in texts], dtype=object)
+            yield pd.Series([np.asarray(one.encode(x), np.int32) for x in texts], dtype=object)
 
     return ids(text)
 
@@ -134,5 +132,4 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     meaning. A null or empty text has the empty list. One output row per input
     row, repeated keys included; other columns are ignored, whatever their names.
     """
-    small_batches(df.sparkSession)
     return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text")).select(F.col(f"`{key}`"), ids_column("__text", path).alias("ids"))

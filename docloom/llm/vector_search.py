@@ -149,7 +149,7 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: in
         some = range(first, min(first + TREES, trees))
         strings = _hashes(size, some, seed)
         forest = classes.select("rep", "v", strings("v").alias("h")).select("rep", "v", F.posexplode("h").alias("tree", "h"))
-        forest = forest.repartitionByRange("tree", "h").sortWithinPartitions("tree", "h").select("tree", "rep", "v")
+        forest = forest.repartitionByRange("tree", "h", "rep").sortWithinPartitions("tree", "h", "rep").select("tree", "rep", "v")
         found = forest.mapInArrow(_blocks(k, size, block), _NEAR).select("id", F.explode("near").alias("n")).select("id", "n.near", "n.cosine")
         found = found.select("id", F.struct((-F.col("cosine")).alias("far"), "near").alias("n"))
         if best is not None:

@@ -130,3 +130,12 @@ def test_other_threshold(spark, threshold):
     want = brute(docs, threshold)
     got = {tuple(r) for r in nd.all_pairs(members, links).collect()}
     assert not got - want and len(got) >= 0.98 * len(want)
+
+
+def test_last_delivery_counts_whatever_it_is(spark):
+    """A document last delivered short or null takes part in nothing, though an earlier delivery was a copy."""
+    long = "the quick brown fox jumps over the lazy dog and runs away"
+    rows = [("a", long, 1), ("b", long, 1), ("b", "short", 2), ("c", long, 1), ("c", None, 2), ("d", "short", 1), ("d", long, 2)]
+    df = spark.createDataFrame(rows, "doc_id string, raw_markdown string, ingested_at int")
+    got = nd.all_pairs(*nd.similar_texts(df)).collect()
+    assert [tuple(r) for r in got] == [("a", "d")]

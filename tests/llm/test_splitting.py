@@ -72,3 +72,11 @@ def test_limits(spark):
     got = [(r.t, r.max_chars, r.overlap_chars) for r in splitting.with_limits(items, limits, "c", F.col("t")).collect()]
     assert got == [("Para", 10, 1), ("Other", 5, 0), (None, 5, 0)]
     assert splitting.with_limits(items, limits, "none").first().max_chars is None
+
+
+def test_last_delivery_counts_whatever_its_length(spark):
+    """An item last delivered short has no pieces; one last delivered long has those of its last text."""
+    rows = [("a", "x" * 50, 1), ("a", "y", 2), ("b", "y", 1), ("b", "z" * 30, 2), ("c", "w" * 30, 1), ("c", None, 2)]
+    df = spark.createDataFrame(rows, "k string, text string, at int").selectExpr("*", "10 AS max_chars", "2 AS overlap_chars")
+    got = {r.k for r in splitting.split_oversized(df, ["k"], order="at").collect()}
+    assert got == {"b"}
