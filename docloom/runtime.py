@@ -63,11 +63,6 @@ def portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of one Arrow batch, for tables of long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def latest(df: DataFrame, keys: list[str], order: str | Column | None = None) -> DataFrame:
     """One row per key: the one delivered last.
 
