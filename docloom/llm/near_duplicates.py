@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from docloom.runtime import durable, latest
 
 WIDTH = 16
-TREES = 24
+TREES = 40
 DEPTH = 3
 #: Texts of a region that are paired at once, and of a block of a larger region.
 REGION = 48

@@ -139,3 +139,8 @@ def test_last_delivery_counts_whatever_it_is(spark):
     df = spark.createDataFrame(rows, "doc_id string, raw_markdown string, ingested_at int")
     got = nd.all_pairs(*nd.similar_texts(df)).collect()
     assert [tuple(r) for r in got] == [("a", "d")]
+
+
+def test_trees_meet_the_threshold():
+    """A pair at similarity 0.6 shares a region of some tree but once in ten thousand times, however dense the region."""
+    assert (1 - 0.6**nd.DEPTH) ** nd.TREES < 1e-4 and nd.TREES * nd.DEPTH <= nd.VALUES
