@@ -32,7 +32,7 @@ def test_leaf_and_folds():
     with pytest.raises(ValueError):
         fold.coerce({1})
     m = Shout()
-    assert summaries.Fold(m, min_len=3).list(["x1", "", "y"]) == "x1 y" and m.calls == ["x1 y"]
+    assert summaries.Fold(m, min_len=3).list(["x1", "", "y"]) == "X1 Y" and m.calls == ["x1 y"]
     node = fold.node({"t": "Section", "c": [{"t": "Header", "c": [1, "hi"]}, "tx", {"t": "Cite", "c": ["no"]}]})
     assert node["c"][2]["s"] == "" and node["c"][0]["c"][0] == "1" and node["s"]
     with pytest.raises(ValueError):
