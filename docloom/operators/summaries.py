@@ -128,6 +128,16 @@ def describe(model: ImageSummarizer, node: dict, file_path: str | None) -> str:
     return model.describe(image_prompt(path), path)
 
 
+def semantics(one: Fold, ast: str | None, title: str | None, path: str | None) -> tuple[str | None, str, str | None]:
+    """(semantics_json, status, exception) of one AST; null is ``PENDING``, a broken one ``ERROR``."""
+    try:
+        root = loads(ast) if ast is not None else None
+        done = None if root is None else json.dumps(one.document(root, title, path), ensure_ascii=False)
+        return done, "COMPLETED" if done else "PENDING", None
+    except (Invalid, ValueError, AttributeError, RecursionError) as e:
+        return None, "ERROR", f"{type(e).__name__}: {e}"
+
+
 def semantics_column(ast: Column | str, title: Column | str, path: Column | str, factory: Callable[[], Summarizer] = Prefix, min_len: int | None = FINAL_MIN, images: Callable[[], ImageSummarizer] | None = None) -> Column:
     """(semantics_json, status, exception) of each AST; null ASTs are ``PENDING``, broken ones ``ERROR``.
 
@@ -140,13 +150,8 @@ def semantics_column(ast: Column | str, title: Column | str, path: Column | str,
         one, out = Fold(factory(), min_len=min_len), []
         describer = images() if images is not None else None
         for x, t, p in zip(asts, titles, paths):
-            try:
-                root = loads(x) if x is not None else None
-                one.image = None if describer is None else lambda node: describe(describer, node, p)  # noqa: B023
-                done = None if root is None else json.dumps(one.document(root, t, p), ensure_ascii=False)
-                out.append((done, "COMPLETED" if done else "PENDING", None))
-            except (Invalid, ValueError, AttributeError, RecursionError) as e:
-                out.append((None, "ERROR", f"{type(e).__name__}: {e}"))
+            one.image = None if describer is None else lambda node: describe(describer, node, p)  # noqa: B023
+            out.append(semantics(one, x, t, p))
         return pd.DataFrame(out, columns=["semantics_json", "status", "exception"])
 
     return fold(ast, title, path)

@@ -183,9 +183,7 @@ def word_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embed_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every embedded node of every AST after the default summary fold."""
     d = latest(table(spark, sf_dir, "dom_documents").select("doc_id", "title", "file_path", "ast_json", "ingested_at"), ["doc_id"], "ingested_at")
-    s = d.select("doc_id", "file_path", summaries.semantics_column("ast_json", "title", "file_path").alias("s"))
-    e = s.select("doc_id", embedding.embed_column("s.semantics_json", "file_path").alias("e"))
-    return e.select("doc_id", F.posexplode("e.records").alias("at", "r")).select("doc_id", "at", "r.id", F.size("r.embedding").alias("size"))
+    return embedding.folded_records(d).select("doc_id", "at", "id", F.size("embedding").alias("size"))
 
 
 QUERIES = {f.__name__: f for f in (leaf_summary, section_summary, document_summary, metadata_projection, prompt_build, summary_plugin, content_hash, hash_chain, duplicate_ids, embedding_normalize, embedding_retry, knn_top4, knn_postfilter, knn_union_argmin, qa_lookup, qa_ids, qa_parse, collections_list, vector_insert, pending_docs, ready_docs, artifact_upsert, status_report, artifact_paths, type_sets, word_top2, embed_compat)}

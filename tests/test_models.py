@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
@@ -229,3 +230,23 @@ def test_plugins_mark_rows(spark):
     assert {x.exception for x in r} == {"RuntimeError: down", None}
     v = df.select(models.embedding_column(F.col("t")).alias("v")).collect()
     assert sorted(x.v is None for x in v) == [False, True]
+
+
+def test_folded_records_run_once(spark, sf):
+    """One pass of Python for the fold and the vectors, with the records that the two columns give one after the other."""
+    from docloom.plans.catalogue import QUERIES
+
+    plan = QUERIES["embed_compat"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "<lambda>" not in plan
+    image = {"t": "Image", "c": [{"t": "Str", "c": "图 a"}]}
+    section = lambda *x: {"t": "Section", "c": [{"t": "Header", "c": [1, "h"]}, *x]}
+    good = [json.dumps({"blocks": b}) for b in ([section(image, {"t": "Table", "c": ["x" * 400]}), section(image)], [{"t": "Para", "c": ["only a summary"]}], [])]
+    deep = '{"blocks":[' + '{"t":"Quote","c":[' * 4000 + '{"t":"Null"}' + "]}" * 4000 + "]}"
+    texts = [*good, None, "", "{", "[]", '{"blocks":[{"c":[]}]}', '{"blocks":[{"t":"Para","c":"\\ud800"}]}', '{"a":1e999}', deep] + [good[0]] * 600
+    rows = [(k, None if k % 3 else f"title {k}", None if k % 5 == 1 else f"/d/{k}.md", x) for k, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k long, `file name` string, p string, x string").coalesce(1)
+    got = [tuple(r) for r in embedding.folded_records(df, "k", "x", "file name", "p").collect()]
+    s = df.filter("k <> 8").select("k", "p", summaries.semantics_column("x", "`file name`", "p").alias("s"))  # a lone surrogate can't leave Python
+    e = s.select("k", embedding.embed_column("s.semantics_json", "p").alias("e")).select("k", F.posexplode("e.records").alias("at", "r"))
+    assert got == [tuple(r) for r in e.select("k", "at", "r.*").collect()]
+    assert len(got) > 3 * embedding.TOGETHER // 2 and {r[0] for r in got} == {0, 1, *range(11, len(texts))} and {len(r[4]) for r in got} == {64}
