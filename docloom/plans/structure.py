@@ -141,8 +141,7 @@ def map_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each readable AST beside itself with the keys counted: pairs of nodes at equal places, and those of equal type."""
     d = latest(table(spark, sf_dir, "dom_documents").select("doc_id", "ast_json", "ingested_at"), ["doc_id"], "ingested_at")
-    both = d.select("doc_id", tree.zip_column("ast_json", tree.map_column("ast_json", _measured)).alias("z")).filter("z is not null")
-    return both.select("doc_id", F.col("z.pairs").alias("pairs"), F.col("z.alike").alias("alike"))
+    return tree.zip_mapped(d, _measured)
 
 
 def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,3 +170,35 @@ def test_text_columns(spark):
         spark.range(1).select(text.prompt(F.lit("x"), F.lit("jp"))).collect()
     assert spark.range(1).select(text.error_text(F.lit("m"), F.lit("n")).alias("e")).first().e == "m\nNode: n\nOn line: unknown"
     assert "\n" not in spark.range(1).select(text.unbroken_base64(F.lit(b"x" * 200)).alias("b")).first().b
+
+
+def test_zip_mapped_runs_once(spark, sf):
+    """One pass of Python for the map and the pairs, with the counts that the two columns give one after the other, and SQL's where these failed."""
+    import duckdb
+
+    from docloom.plans.catalogue import ORACLE, QUERIES
+
+    plan = QUERIES["positional_zip"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+    def measured(x):
+        return x | {"n": len(x)} if isinstance(x, dict) else x
+
+    def dropped(x):
+        if isinstance(x, dict):
+            x.pop("c", None)
+        return x
+
+    deep = '{"a":' + '[{"t":"Quote","c":' * 3000 + "null" + "}]" * 3000 + "}"
+    texts = ['{"blocks":[{"t":"Para","c":["x",1,null]},[[]]]}', '{"n":{"a":1}}', '{"a":{"c":[1,2]},"b":[{"c":1,"d":2}]}', "7", "[]", None, "", "{", '{"a":NaN}', deep]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "`the key` long, x string")
+    for transform in (measured, dropped):
+        got = {r[0]: (r.pairs, r.alike) for r in tree.zip_mapped(df, transform, "the key", "x").collect()}
+        both = df.select("the key", tree.zip_column("x", tree.map_column("x", transform)).alias("z")).filter("z is not null")
+        assert got == {r[0]: (r.z.pairs, r.z.alike) for r in both.collect()} and set(got) == {0, 1, 2, 3, 4, 9}
+    odd = ['{"a":[1e999]}', '{"a":"\\ud83d"}', '{"\\uDE00":1}', '{"a":["\\uD83D\\uDE00","\\\\ud83d"]}', '{"a":1}', "{"]  # the mapped text was refused, or ended the job
+    con = duckdb.connect()
+    con.execute("CREATE TABLE dom_documents (doc_id VARCHAR, ast_json VARCHAR)")
+    con.executemany("INSERT INTO dom_documents VALUES (?, ?)", [(str(k), x) for k, x in enumerate(odd)])
+    want = sorted(con.sql(ORACLE["positional_zip"]).fetchall())
+    assert sorted(map(tuple, tree.zip_mapped(spark.createDataFrame([(str(k), x) for k, x in enumerate(odd)], "doc_id string, ast_json string"), measured).collect())) == want and len(want) == 3
